@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +11,11 @@ from pyspark.sql.types import StructType
 from casegraph.functions import exprs as x
 from casegraph.schemas import EVENT_DDL, EVENT_STRUCTS
 
-EVENT_SCHEMA: StructType = StructType.fromDDL(EVENT_DDL)
-_STRUCT_TYPES = {name: EVENT_SCHEMA[name].dataType for name in EVENT_STRUCTS}
+
+@cache
+def event_schema() -> StructType:
+    return StructType.fromDDL(EVENT_DDL)
+
 
 # A parser maps dotted member paths to columns, e.g. {"event.action": lit("x"), ...}.
 Parser = dict[str, Column]
@@ -69,7 +72,7 @@ def event_columns(variants: list[tuple[Column | None, Parser]]) -> list[Column]:
     timestamp = _leaf(variants, "timestamp")
     timestamp = F.lit(None) if timestamp is None else timestamp
     return [timestamp.cast("timestamp").alias("timestamp")] + [
-        _presence(variants, _STRUCT_TYPES[name], name).alias(name) for name in EVENT_STRUCTS
+        _presence(variants, event_schema()[name].dataType, name).alias(name) for name in EVENT_STRUCTS
     ]
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from casegraph import fixed_values as fv
 
-NULL_STRING = F.lit(None).cast("string")
+def null_string() -> Column:
+    return F.lit(None).cast("string")
 
 
 # ------------------------------------------------------------------ regular expressions

@@ -31,9 +31,6 @@ log = logging.getLogger(__name__)
 
 SetRule = Callable[[DataFrame], "Findings"]
 
-_FINDING_COLUMNS = StructType.fromDDL(FINDING_DDL)
-_TRIGGER_COLUMNS = StructType.fromDDL(TRIGGER_DDL)
-
 
 @dataclass(frozen=True)
 class Findings:
@@ -157,8 +154,8 @@ def _payload(rule: RowRule) -> list[Column]:
     def text_map(entries: dict[str, Column]) -> Column:
         return x.string_map(**entries) if entries else F.create_map().cast("map<string,string>")
 
-    technique = rule.technique or (x.NULL_STRING, x.NULL_STRING)
-    severity = x.NULL_STRING if rule.severity is None else rule.severity
+    technique = rule.technique or (x.null_string(), x.null_string())
+    severity = x.null_string() if rule.severity is None else rule.severity
     confidence = F.lit(None) if rule.confidence is None else rule.confidence
     return [
         rule.description.alias("description"),
@@ -258,7 +255,7 @@ def row_findings(view: DataFrame, rules: list[RowRule]) -> Findings:
         F.col("id").alias("finding_id"),
         F.col("_event_id").alias("event_id"),
         F.col("_event_ord").alias("ord"),
-        x.NULL_STRING.alias("value"),
+        x.null_string().alias("value"),
     )
     return Findings(conform(findings), triggers)
 
@@ -274,13 +271,13 @@ def with_logon_entry(extra: Column, logon: Column) -> Column:
 def conform(findings: DataFrame) -> DataFrame:
     """Exactly the finding schema."""
     return findings.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in _FINDING_COLUMNS.fields]
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(FINDING_DDL).fields]
     )
 
 
 def conform_triggers(triggers: DataFrame) -> DataFrame:
     return triggers.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in _TRIGGER_COLUMNS.fields]
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TRIGGER_DDL).fields]
     )
 
 

@@ -75,7 +75,7 @@ def group_rules() -> list[GroupRule]:
             "WIN_BRUTE_FORCE_001",
             when=(c("event_code") == 4625) & (user != "-"),
             key=(user,),
-            value=x.NULL_STRING,
+            value=x.null_string(),
             fires=n >= fv.LOGON_FAILURE_THRESHOLD,
             description=text("%s failed login attempts for '%s'", n, key0),
             extra={"target_user": key0},
@@ -206,7 +206,7 @@ def group_summaries(hits: DataFrame) -> DataFrame:
         return F.min(item if where is None else F.when(where, item))["v"]
 
     first_row = F.struct(
-        facts(x.NULL_STRING).alias("facts"), c("created"), c("own_logon_id"), c("ord")
+        facts(x.null_string()).alias("facts"), c("created"), c("own_logon_id"), c("ord")
     )
     spread = F.unix_micros(F.max("event_time")) - F.unix_micros(F.min("event_time"))
     return hits.groupBy(*GROUP_KEYS).agg(
@@ -299,7 +299,7 @@ def group_findings(view: DataFrame, wanted: set[str] | None = None):
         "kill_chain_phase",
         "tags",
         "source",
-        _case(rules, lambda r: r.description, x.NULL_STRING).alias("description"),
+        _case(rules, lambda r: r.description, x.null_string()).alias("description"),
         _case(rules, lambda r: r.event_count, c("n")).alias("event_count"),
         with_logon_entry(with_sample, c("logon_id")).alias("extra"),
         _case(rules, lambda r: x.string_map(**r.entities) if r.entities else None, empty_map).alias(
@@ -330,7 +330,7 @@ def _samples(triggers: DataFrame, rules: list[GroupRule]) -> DataFrame:
     """First k values of the findings that show a sample; k is a feature of the rule."""
     sampled = [r for r in rules if r.sample]
     limit = _case(sampled, lambda r: F.lit(r.sample[1]), F.lit(0))
-    name = _case(sampled, lambda r: F.lit(r.sample[0]), x.NULL_STRING)
+    name = _case(sampled, lambda r: F.lit(r.sample[0]), x.null_string())
     widest = max([r.sample[1] for r in sampled], default=0)
     rank = F.row_number().over(W.partitionBy("finding_id").orderBy("sort_time", "ord"))
     top = (
@@ -492,7 +492,7 @@ def script_block_findings(view: DataFrame, wanted: set[str] | None = None):
     )
     triggers = rows.select(
         "collection_id", "channel", c("id").alias("finding_id"), F.posexplode(ids).alias("ord", "event_id")
-    ).select("collection_id", "channel", "finding_id", "event_id", "ord", x.NULL_STRING.alias("value"))
+    ).select("collection_id", "channel", "finding_id", "event_id", "ord", x.null_string().alias("value"))
     return Findings(findings, triggers)
 
 
@@ -631,7 +631,7 @@ def login_findings(view: DataFrame, bucket_seconds: int = 3600):
     )
     ids = rows.select(*keys, c("id").alias("finding_id"))
     failure_triggers = last_failures.join(ids, keys).select(
-        "collection_id", "channel", "finding_id", c("id").alias("event_id"), "ord", x.NULL_STRING.alias("value")
+        "collection_id", "channel", "finding_id", c("id").alias("event_id"), "ord", x.null_string().alias("value")
     )
     success_triggers = rows.select(
         "collection_id",
@@ -639,7 +639,7 @@ def login_findings(view: DataFrame, bucket_seconds: int = 3600):
         c("id").alias("finding_id"),
         c("success")["id"].alias("event_id"),
         c("success")["ord"].alias("ord"),
-        x.NULL_STRING.alias("value"),
+        x.null_string().alias("value"),
     )
     return Findings(findings, failure_triggers.unionByName(success_triggers))
 
