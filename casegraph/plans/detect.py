@@ -56,6 +56,15 @@ class RuleSet:
     def default(cls) -> RuleSet:
         return cls(default_row_rules(), rules_set.default_set_rules())
 
+    @classmethod
+    def of(cls, *rule_ids: str) -> RuleSet:
+        """The named rules of the default set."""
+        wanted = set(rule_ids)
+        return cls(
+            default_row_rules(wanted),
+            rules_set.select_set_rules(rules_set.default_set_rules(), wanted),
+        )
+
     def register(self, rule: RowRule | tuple[str, SetRule]) -> RuleSet:
         if isinstance(rule, RowRule):
             self.row_rules.append(rule)

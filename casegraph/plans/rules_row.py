@@ -657,16 +657,34 @@ def whole_channel_row_rules() -> list[RowRule]:
     ]
 
 
-def default_row_rules() -> list[RowRule]:
-    return [
-        *account_rules(),
-        *network_rules(),
-        *process_rules(),
-        *registry_rules(),
-        *evasion_rules(),
-        *file_rules(),
-        *task_rules(),
-        *wmi_rules(),
-        *web_rules(),
-        *whole_channel_row_rules(),
-    ]
+# Rule families by id prefix; a family is built only if one of its rules is wanted.
+FAMILIES = (
+    (("WIN_USER_", "WIN_GROUP_", "WIN_REMOTE_"), account_rules),
+    (("NET_SUSPICIOUS_", "NET_REVERSE_", "NET_WEBSERVER_"), network_rules),
+    (
+        ("PROC_SUSPICIOUS_001", "PROC_WEBSHELL_", "WIN_SUSPICIOUS_", "WIN_CMD_"),
+        process_rules,
+    ),
+    (("REG_",), registry_rules),
+    (("WIN_LOG_",), evasion_rules),
+    (("SYS_", "WIN_SENSITIVE_", "WIN_SYSTEM_"), file_rules),
+    (
+        ("TASK_WEBROOT_", "TASK_PS_", "TASK_MASQUERADE_", "TASK_LOLBIN_", "WIN_SCHTASK_"),
+        task_rules,
+    ),
+    (("WMI_",), wmi_rules),
+    (
+        ("WEB_SQLI_", "WEB_LFI_", "WEB_CMDI_", "WEB_XSS_", "WEB_WEBSHELL_", "WEB_MALICIOUS_"),
+        web_rules,
+    ),
+    (("PROC_SUSPICIOUS_CMDLINE_", "TASK_NON_SYSTEM_"), whole_channel_row_rules),
+)
+
+
+def default_row_rules(wanted: set[str] | None = None) -> list[RowRule]:
+    """All row rules in catalogue order, or the wanted ones."""
+    rules = []
+    for prefixes, family in FAMILIES:
+        if wanted is None or any(rule_id.startswith(prefixes) for rule_id in wanted):
+            rules += [r for r in family() if wanted is None or r.rule_id in wanted]
+    return rules

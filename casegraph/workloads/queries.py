@@ -51,7 +51,7 @@ def micros(time: Column) -> Column:
 
 
 def found(events: DataFrame, *rule_ids: str) -> DataFrame:
-    return detect(events, RuleSet.default().only(*rule_ids)).findings
+    return detect(events, RuleSet.of(*rule_ids)).findings
 
 
 # ------------------------------------------------------------------ sources
@@ -518,7 +518,7 @@ def script_blocks(spark, sf):
 @query
 def finding_triggers(spark, sf):
     """The events behind web brute-force findings."""
-    result = detect(ad.web_events(spark, sf), RuleSet.default().only("WEB_BRUTE_FORCE_001"))
+    result = detect(ad.web_events(spark, sf), RuleSet.of("WEB_BRUTE_FORCE_001"))
     ip = result.findings.select(c("id").alias("finding_id"), c("extra")["source_ip"].alias("source_ip"))
     return result.triggers.join(ip, "finding_id").select("source_ip", c("value").alias("url"), c("ord").alias("event_ord"))
 
@@ -820,7 +820,7 @@ def actor_summary(spark, sf):
 @query
 def alert_listing(spark, sf):
     """Flat listing of web findings, most severe first."""
-    findings = detect(ad.web_events(spark, sf), RuleSet.default().only("WEB_BRUTE_FORCE_001", "WEB_RECON_SCAN_001")).findings
+    findings = detect(ad.web_events(spark, sf), RuleSet.of("WEB_BRUTE_FORCE_001", "WEB_RECON_SCAN_001")).findings
     return reports.findings_listing(findings).select(
         "rule_id", "severity", "description", F.array_join("tags", ",").alias("tags"), "event_count"
     )
