@@ -571,15 +571,20 @@ def lineage_ranges(spark, sf):
 
 
 @query
-def fuzzy_lines(spark, sf):
-    """Benchmark passages against all document lines at a ratio of 0.9."""
-    passages = ad.table(spark, sf, "benchmark").select(lit("t").alias("g"), "text")
-    lines = ad.table(spark, sf, "documents").select(
-        lit("t").alias("g"), F.explode(F.split("text", "\n")).alias("text")
-    )
-    pairs = fuzzy_pairs(passages, lines, ["g"])
+def fuzzy_passages(spark, sf):
+    """Passages against their edited copies and all conversation turns, ratio 0.9."""
+    passages = ad.table(spark, sf, "benchmark").select(lit("t").alias("g"), "item_id", "text")
+    edited = passages.withColumn(
+        "text",
+        F.when(
+            c("item_id") % 2 == 0,
+            F.concat(F.expr("substring(text, 4)"), lit(" end"))
+        ).otherwise(F.concat(F.expr("substring(text, 1, 40)"), lit(" rewritten from here on"))),
+    )
+    turns = ad.table(spark, sf, "conversations").select(lit("t").alias("g"), "text")
+    pairs = fuzzy_pairs(passages.drop("item_id"), edited.drop("item_id").unionByName(turns), ["g"])
     return pairs.select(
-        F.md5("left_text").alias("passage"), F.md5("right_text").alias("line"), F.round("score", 6).alias("score")
+        F.md5("left_text").alias("passage"), F.md5("right_text").alias("other"), F.round("score", 6).alias("score")
     )
 
 
