@@ -51,7 +51,8 @@ def micros(time: Column) -> Column:
 
 
 def found(events: DataFrame, *rule_ids: str) -> DataFrame:
-    return detect(events, RuleSet.of(*rule_ids)).findings
+    """Findings of some rules; normalised events are a stage boundary, as in a full run."""
+    return detect(cut_lineage(events), RuleSet.of(*rule_ids)).findings
 
 
 # ------------------------------------------------------------------ sources
@@ -518,7 +519,7 @@ def script_blocks(spark, sf):
 @query
 def finding_triggers(spark, sf):
     """The events behind web brute-force findings."""
-    result = detect(ad.web_events(spark, sf), RuleSet.of("WEB_BRUTE_FORCE_001"))
+    result = detect(cut_lineage(ad.web_events(spark, sf)), RuleSet.of("WEB_BRUTE_FORCE_001"))
     ip = result.findings.select(c("id").alias("finding_id"), c("extra")["source_ip"].alias("source_ip"))
     return result.triggers.join(ip, "finding_id").select("source_ip", c("value").alias("url"), c("ord").alias("event_ord"))
 
@@ -689,7 +690,7 @@ def attack_actors(spark, sf):
     """Web and process telemetry to actors."""
     web = ad.web_events(spark, sf, attack=True)
     processes = normalize_log(ad.sysmon_process_raw(spark, sf), "sysmon").withColumn("collection_id", lit("web"))
-    events = web.unionByName(processes)
+    events = cut_lineage(web.unionByName(processes))
     graph = co.correlate(fuse(detect(events)), events)
     return reports.actor_summary(cut_lineage(graph.nodes)).select("actor", "nodes", "label", "max_severity", "phases")
 
@@ -825,7 +826,7 @@ def actor_summary(spark, sf):
 @query
 def alert_listing(spark, sf):
     """Flat listing of web findings, most severe first."""
-    findings = detect(ad.web_events(spark, sf), RuleSet.of("WEB_BRUTE_FORCE_001", "WEB_RECON_SCAN_001")).findings
+    findings = detect(cut_lineage(ad.web_events(spark, sf)), RuleSet.of("WEB_BRUTE_FORCE_001", "WEB_RECON_SCAN_001")).findings
     return reports.findings_listing(findings).select(
         "rule_id", "severity", "description", F.array_join("tags", ",").alias("tags"), "event_count"
     )

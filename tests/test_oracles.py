@@ -44,7 +44,7 @@ def duck(sf_dir):
 def test_query(spark, sf_dir, duck, name):
     df = queries()[name](spark, sf_dir)
     got = as_rows(df.columns, [tuple(r) for r in df.collect()])
-    assert got
+    assert got or name in oracle_sql()
     sql = oracle_sql().get(name)
     if sql is None:
         return
