@@ -157,6 +157,15 @@ def _same_state(a: str, b: str) -> Column:
     return ~x.any_of([~c(f"{a}.{n}").eqNullSafe(c(f"{b}.{n}")) for n in names])
 
 
+def _replace_rows(old: DataFrame, new: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with the same keys."""
+    fresh = new.select(*keys, F.struct(*names).alias("_new"))
+    return old.join(fresh, keys, "left").select(
+        *keys,
+        *[F.when(c("_new").isNotNull(), c(f"_new.{n}")).otherwise(c(n)).alias(n) for n in names],
+    )
+
+
 def assign_requests(chunks: DataFrame, block_size: int = 20000) -> DataFrame:
     """``(collection_id, client, ord, request, done)``: the request each chunk belongs to."""
     keys = ["collection_id", "client", "block"]
@@ -199,9 +208,8 @@ def assign_requests(chunks: DataFrame, block_size: int = 20000) -> DataFrame:
         )
         if changed.isEmpty():
             break
-        starts = cut_lineage(starts.join(changed.select(*keys), keys, "left_anti").unionByName(changed))
-        again = run_blocks(changed)
-        ends = cut_lineage(ends.join(changed.select(*keys), keys, "left_anti").unionByName(again))
+        starts = cut_lineage(_replace_rows(starts, changed, keys, state_names))
+        ends = cut_lineage(_replace_rows(ends, run_blocks(changed), keys, state_names))
     return (
         blocks.join(starts, keys)
         .groupBy(*keys)
