@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of fewer files than task slots to all of them.
+
+    Pattern matching is bound by the processor, and one file is one task; a table of many files
+    is left as it is, so nothing is shuffled there.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+
+
 def pick(index: Column, values: list[str]) -> Column:
     """``values[index]``; the index is evaluated once."""
     return F.get(F.array(*[lit(v) for v in values]), index.cast("int"))
@@ -92,7 +102,7 @@ def web_columns(events: DataFrame) -> DataFrame:
 
 def web_events(spark: SparkSession, sf_dir: str, attack: bool = False) -> DataFrame:
     """Normalised web events; with ``attack`` the path is one of the attack payloads."""
-    rows = web_columns(table(spark, sf_dir, "events")).select(
+    rows = web_columns(spread(table(spark, sf_dir, "events"))).select(
         lit("web").alias("collection_id"), c("event_id").alias("ord"), "*"
     )
     path = c("attack_url") if attack else c("path")
@@ -171,7 +181,7 @@ def sysmon_process_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Process-create records, one per order."""
     key = c("o_orderkey")
     image, parent = pick(key % 7, IMAGES), pick(c("o_custkey") % 5, PARENTS)
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         lit("host").alias("collection_id"),
         key.alias("ord"),
         iso(F.timestamp_seconds(F.unix_timestamp("o_orderdate") + key % 86400)).alias("time_created"),
@@ -200,7 +210,7 @@ def sysmon_file_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     seconds = F.datediff("l_shipdate", F.lit("1970-01-01").cast("date"))
     key = c("l_orderkey") * 10 + c("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         lit("host").alias("collection_id"),
         key.alias("ord"),
         iso(F.timestamp_seconds(seconds)).alias("time_created"),
@@ -224,7 +234,7 @@ def security_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, user = c("o_orderkey"), c("o_custkey")
     kind = key % 5
     sid = F.when(user % 50 == 0, lit("S-1-5-18")).otherwise(F.concat(lit("S-1-5-21-"), user))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         lit("host").alias("collection_id"),
         key.alias("ord"),
         iso(c("o_orderdate")).alias("time_created"),
@@ -398,7 +408,7 @@ def task_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ log text and traffic
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access-log text, one line per event; some lines are broken."""
-    rows = web_columns(table(spark, sf_dir, "events"))
+    rows = web_columns(spread(table(spark, sf_dir, "events")))
     line = F.concat(
         c("ip"),
         lit(" - - ["),

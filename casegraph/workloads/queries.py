@@ -388,7 +388,7 @@ def wmi_row_rules(spark, sf):
 @query
 def html_rules(spark, sf):
     """The pattern rules over whole page texts."""
-    pages = ad.table(spark, sf, "pages").select(
+    pages = ad.spread(ad.table(spark, sf, "pages")).select(
         lit("web").alias("collection_id"),
         lit("web_logs").alias("channel"),
         c("page_id").alias("id"),
