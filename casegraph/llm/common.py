@@ -58,6 +58,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def sample_below(key: Column, share: float) -> Column:
+def sample_below(key: Column, share: Column | float) -> Column:
     """True for a fixed pseudo-random ``share`` of the keys, the same on every run."""
-    return (F.xxhash64(key, F.lit("sample")) / F.lit(2.0**64) + F.lit(0.5)) < F.lit(share)
+    return (F.xxhash64(key, F.lit("sample")) / F.lit(2.0**64) + F.lit(0.5)) < share
