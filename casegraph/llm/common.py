@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -61,3 +61,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def sample_below(key: Column, share: Column | float) -> Column:
     """True for a fixed pseudo-random ``share`` of the keys, the same on every run."""
     return (F.xxhash64(key, F.lit("sample")) / F.lit(2.0**64) + F.lit(0.5)) < share
+
+
+def kept_rows(df: DataFrame, text: str, keep: Callable[[list[str]], Sequence[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose texts ``keep`` marks; it sees a batch of texts at a time."""
+    bounded_batches(df.sparkSession)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(texts_of(batch, text)), pa.bool_()))
+
+    return df.mapInArrow(filtered, df.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import bounded_batches, held_out, sample_below, table, texts_of
+from casegraph.llm.common import bounded_batches, held_out, kept_rows, sample_below, table, texts_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
@@ -35,6 +35,8 @@ PER_LANGUAGE = 1000
 WINDOWS_EACH = 3
 EPOCHS = 5
 UNKNOWN = "und"
+#: Below this score a filter takes a text to be in no known language.
+MIN_SCORE = 0.3
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPAN = max(WIDTHS)
@@ -229,6 +231,16 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text", doc_id: s
     return columns.mapInArrow(told, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, net: ByteNet | None, text: str = "text", least: float = MIN_SCORE) -> DataFrame:
+    """The rows whose text has a recognised language: not ``und`` and at least the given score."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def keep(texts: list[str]) -> list[bool]:
+        return [name != UNKNOWN and score >= least for name, score in predict(shared.value, texts)]
+
+    return kept_rows(docs, text, keep)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import bounded_batches, table, texts_of
+from casegraph.llm.common import bounded_batches, free_name, table, texts_of
 from casegraph.operators.components import connected_components
 from casegraph.session import cut_lineage
 
@@ -201,13 +201,52 @@ def near_duplicates(
 
 
 def component_ids(narrow: DataFrame, max_distance: int = 3) -> DataFrame:
-    """``fp, component_id`` for every distinct fingerprint of ``narrow`` (``doc_id, fp``)."""
+    """``fp, component, component_id`` for every distinct fingerprint of ``narrow`` (``doc_id, fp``).
+
+    ``component`` is a fingerprint that names the group, ``component_id`` its smallest ``doc_id``.
+    """
     fps = cut_lineage(narrow.groupBy("fp").agg(F.min("doc_id").alias("low")))
     members = connected_components(links(fps.select("fp"), max_distance)).select(F.col("node").alias("fp"), "component")
     of = fps.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     return of.join(of.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(
-        "fp", "component_id"
+        "fp", "component", "component_id"
+    )
+
+
+def one_per_group(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, max_distance: int = 3
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id, of equal ids any fixed row."""
+    row = free_name(docs, "row_hash")
+    marked = docs.withColumn(row, F.xxhash64(*docs.columns))
+    # ``of_id`` is never null, so that rows without an id meet in joins too.
+    of_id = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("of_id")
+    narrow = cut_lineage(
+        with_fingerprints(
+            marked.select(F.col(doc_id).alias("doc_id"), of_id, F.col(row).alias("row"), F.col(text).alias("text")),
+            "fp", words=words,
+        )
+    )
+    members = narrow.join(component_ids(narrow, max_distance), "fp")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "of_id")
+    first = cut_lineage(
+        members.groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.of_id").alias("of_id"), F.col("w.row").alias(row))
+    )
+    id_text = free_name(marked, "id_text")
+    chosen = first.withColumnRenamed("of_id", id_text)
+    kept = marked.withColumn(id_text, F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).join(
+        chosen, [id_text, row], "left_semi"
     )
+    # Rows that are equal in every column are one document; only they need another pass.
+    repeated = (
+        narrow.groupBy("of_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select(F.col("of_id").alias(id_text), F.col("row").alias(row))
+        .join(chosen, [id_text, row], "left_semi")
+    )
+    if not repeated.isEmpty():
+        once = kept.join(repeated, [id_text, row], "left_semi").dropDuplicates([id_text, row])
+        kept = kept.join(repeated, [id_text, row], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import bounded_batches, held_out, sample_below, slices, table, texts_of
+from casegraph.llm.common import bounded_batches, held_out, kept_rows, sample_below, slices, table, texts_of
 from casegraph.llm.crf import marginals
 
 SAMPLE_TOXIC = 3000
@@ -333,6 +333,12 @@ def score(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataFr
     return columns.mapInArrow(told, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Field, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text, lambda texts: (shared.value.scores(texts) < threshold).tolist())
+
+
 def spans_of(text: str, model: Field, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """``(start, end, probability)`` in characters of runs of toxic words within a sentence."""
     p, _ = model.scored([text])
