@@ -87,7 +87,10 @@ class Element:
 
 
 def elements(data: bytes) -> Iterator[Element]:
-    """All elements in order, masters before what they hold.  A cut-off body ends where the data ends."""
+    """All elements in order, masters before what they hold.
+
+    Where the data is torn off, masters end with it and an element that is not whole is left out.
+    """
     at, ends = 0, []  # ends: (end of an open master, or None if unknown; its identifier)
     while at < len(data):
         while ends and ends[-1][0] is not None and at >= ends[-1][0]:
@@ -107,7 +110,9 @@ def elements(data: bytes) -> Iterator[Element]:
         limit = next((e for e, _ in reversed(ends) if e is not None), len(data))
         if size is None and name not in (SEGMENT, CLUSTER):
             raise Malformed(f"unknown size of element {name:x}")
-        end = min(limit, len(data), at + size) if size is not None else limit
+        if size is not None and at + size > len(data) and name not in MASTERS:
+            return
+        end = min(limit, at + size) if size is not None else limit
         yield Element(name, at, end, len(ends), begin)
         if name in MASTERS:
             ends.append((end if size is not None else None, name))

@@ -4,9 +4,9 @@
 as the samples of a container, parses the stored bytes and computes its digest from the packets.
 
 Defined results: null media, empty bytes and bytes that are no container give no packet; a container
-whose tail is torn off gives the frames whose elements are still there, cut at the last byte; a null
-text counts as empty (a payload of 64 zero bytes); equal texts give equal values; repeated rows stay;
-further columns are ignored; an empty table gives an empty result.
+whose tail is torn off gives the frames of its whole blocks; a null text counts as empty (a payload of
+64 zero bytes); equal texts give equal values; repeated rows stay; further columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

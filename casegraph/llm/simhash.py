@@ -206,7 +206,8 @@ def component_ids(narrow: DataFrame, max_distance: int = 3) -> DataFrame:
     ``component`` is a fingerprint that names the group, ``component_id`` its smallest ``doc_id``.
     """
     fps = cut_lineage(narrow.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    members = connected_components(links(fps.select("fp"), max_distance)).select(F.col("node").alias("fp"), "component")
+    edges = cut_lineage(links(fps.select("fp"), max_distance))
+    members = connected_components(edges).select(F.col("node").alias("fp"), "component")
     of = fps.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     return of.join(of.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(
         "fp", "component", "component_id"
