@@ -90,10 +90,11 @@ def account_domain(text: Column) -> Column:
 
 # ------------------------------------------------------------------ numbers and times
 def hex_to_int(text: Column) -> Column:
+    """Integer of a hexadecimal text of any length; null where its value exceeds 64 bits."""
     raw = F.lower(strip(text))
+    digits = F.regexp_replace(raw, "^(0x)?0*(?=.)", "")
     return F.when(
-        raw.rlike("^(0x)?[0-9a-f]{1,15}$"),
-        F.conv(F.regexp_replace(raw, "^0x", ""), 16, 10).cast("bigint"),
+        raw.rlike("^(0x)?[0-9a-f]+$") & (F.length(digits) <= 16), F.conv(digits, 16, 10).try_cast("bigint")
     )
 
 

@@ -46,15 +46,16 @@ def stream_row_findings(events: DataFrame, rules: list[RowRule] | None = None) -
 
 
 REQUEST_DDL = (
-    "collection_id STRING, client STRING, time_start TIMESTAMP, time_end TIMESTAMP, raw STRING"
+    "collection_id STRING, client STRING, time_start TIMESTAMP, time_end TIMESTAMP, raw STRING, complete BOOLEAN"
 )
 
 
 def stream_requests(chunks: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """Requests from a stream of traffic chunks, emitted when they complete.
 
-    ``chunks``: collection_id, client, ord, time, chunk.  One small state per connection;
-    connections silent for ``idle_ms`` are forgotten, so unfinished ones do not pile up.
+    ``chunks``: collection_id, client, ord, time, chunk.  One state and one timer per connection.
+    Every input renews the timer; a connection silent for ``idle_ms`` gives its unfinished request
+    as a row with ``complete`` false and is forgotten, so nothing is lost and nothing piles up.
     """
     processor = _request_processor(fv.DUMP_REQUEST_LINE, idle_ms)
     return chunks.groupBy("collection_id", "client").transformWithStateInPandas(
@@ -71,22 +72,24 @@ def _request_processor(request_line: str, idle_ms: int):
     from pyspark.sql.streaming import StatefulProcessor
 
     make = make_stepper(request_line)
+    columns = ["collection_id", "client", "time_start", "time_end", "raw", "complete"]
 
     class RequestProcessor(StatefulProcessor):
         def init(self, handle):
+            self.handle = handle
             # The open request's text arrives in chunks and is kept as a list, so adding one
             # does not rewrite what is there.
             self.state = handle.getValueState(
                 "machine",
-                "opened BIGINT, in_body BOOLEAN, line STRING, length BIGINT, received BIGINT, time_start TIMESTAMP",
-                ttlDurationMs=idle_ms,
+                "opened BIGINT, in_body BOOLEAN, line STRING, length BIGINT, received BIGINT, time_start TIMESTAMP, "
+                "time_end TIMESTAMP",
             )
-            self.parts = handle.getListState("parts", "chunk STRING", ttlDurationMs=idle_ms)
+            self.parts = handle.getListState("parts", "chunk STRING")
 
         def handleInputRows(self, key, rows, timerValues):
             kept = self.state.get() if self.state.exists() else None
             machine = (None, False, "", 0, 0) if kept is None or kept[0] is None else tuple(kept[:5])
-            started = None if kept is None else kept[5]
+            started, ended = (None, None) if kept is None else kept[5:7]
             parts = []
             out = []
             for pdf in rows:
@@ -98,22 +101,32 @@ def _request_processor(request_line: str, idle_ms: int):
                     if not was_open:
                         started = row.time
                     parts.append((row.chunk,))
+                    ended = row.time
                     if done:
                         earlier = [p[0] for p in self.parts.get()] if self.parts.exists() else []
                         self.parts.clear()
                         text = "".join(earlier + [p[0] for p in parts])
-                        out.append((key[0], key[1], started, row.time, text))
+                        out.append((key[0], key[1], started, row.time, text, True))
                         parts, started = [], None
             if parts:
                 self.parts.appendList(parts)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
             if machine[0] is None:
                 self.state.clear()
             else:
-                self.state.update((*machine, started))
+                self.state.update((*machine, started, ended))
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
             if out:
-                yield pd.DataFrame(
-                    out, columns=["collection_id", "client", "time_start", "time_end", "raw"]
-                )
+                yield pd.DataFrame(out, columns=columns)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.state.exists():
+                kept = self.state.get()
+                text = "".join(p[0] for p in self.parts.get()) if self.parts.exists() else ""
+                self.parts.clear()
+                self.state.clear()
+                yield pd.DataFrame([(key[0], key[1], kept[5], kept[6], text, False)], columns=columns)
 
         def close(self):
             pass

@@ -241,7 +241,7 @@ ORACLES: dict[str, str] = {
         SELECT s_suppkey + 1000000000, 'arp_cache_entry', NULL, NULL, NULL, NULL, NULL,
           CASE WHEN s_suppkey % 10 = 0 THEN 'ff:ff:ff:ff:ff:ff' ELSE 'aa:00:00:00:' || s_nationkey || ':' || (s_suppkey % 2) END
         FROM supplier""",
-    "normalized_tasks": f"WITH {TASK} SELECT ord * 1024 AS ord, task, last_run_us, executable, args, command FROM task",
+    "normalized_tasks": f"WITH {TASK} SELECT ord * 4294967296 AS ord, task, last_run_us, executable, args, command FROM task",
     "normalized_registry": f"""
         WITH {REG} SELECT ord, path, data,
           CASE WHEN contains(path, 'services') THEN {pick("ord % 7", ["a.exe", "b.exe", "powershell", "powershell.exe", "ok.exe", "svc.exe", "rundll32"])} END AS executable,
