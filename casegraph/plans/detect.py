@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from casegraph.plans.rules_row import (
     session_capability,
 )
 from casegraph.schemas import FINDING_DDL, TRIGGER_DDL
+from casegraph.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -38,10 +39,14 @@ class Findings:
 
     findings: DataFrame
     triggers: DataFrame
+    #: Names of the rules that could not be built and so have no findings here.
+    left_out: tuple[str, ...] = ()
 
     def union(self, other: Findings) -> Findings:
         return Findings(
-            self.findings.unionByName(other.findings), self.triggers.unionByName(other.triggers)
+            self.findings.unionByName(other.findings),
+            self.triggers.unionByName(other.triggers),
+            self.left_out + other.left_out,
         )
 
 
@@ -132,11 +137,16 @@ def logon_lookup(view: DataFrame) -> DataFrame:
 
 def with_logon(rows: DataFrame, view: DataFrame) -> DataFrame:
     """Add ``logon_id``: the event's own, else that of the event's process."""
-    keys = ["collection_id", "channel", "guid"]
+    # Rows without a process, or with an id of their own, need no lookup.  As most rows of most
+    # channels are such, they get keys that no process has, spread over all tasks.
+    lacking = F.col("guid").isNotNull() & F.col("own_logon_id").isNull()
+    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string"))
+    keyed = rows.withColumn("_guid", F.when(lacking, F.col("guid")).otherwise(none))
+    lookup = logon_lookup(view).withColumnRenamed("guid", "_guid")
     return (
-        rows.join(logon_lookup(view), keys, "left")
+        keyed.join(lookup, ["collection_id", "channel", "_guid"], "left")
         .withColumn("logon_id", F.coalesce("own_logon_id", "created_logon_id"))
-        .drop("created_logon_id")
+        .drop("created_logon_id", "_guid")
     )
 
 
@@ -193,9 +203,13 @@ def row_hits(view: DataFrame, rules: list[RowRule]) -> DataFrame:
     )
 
 
-def row_findings(view: DataFrame, rules: list[RowRule]) -> Findings:
-    """Findings of all row rules from one scan of the events."""
+def row_findings(view: DataFrame, rules: list[RowRule], stage: bool = False) -> Findings:
+    """Findings of all row rules from one scan of the events.
+
+    With ``stage`` the hits are stored once, for callers that read findings and triggers both.
+    """
     usable = usable_rules(view, rules)
+    left_out = tuple({r.rule_id for r in rules} - {r.rule_id for r, _ in usable})
     hits = with_logon(row_hits(view, [rule for rule, _ in usable]), view)
     payload = None
     for at, (_, body) in enumerate(usable):
@@ -258,6 +272,8 @@ def row_findings(view: DataFrame, rules: list[RowRule]) -> Findings:
         F.col("id").alias("_event_id"),
         F.col("ord").alias("_event_ord"),
     )
+    if stage:
+        findings = cut_lineage(findings)
     triggers = findings.select(
         "collection_id",
         "channel",
@@ -266,7 +282,7 @@ def row_findings(view: DataFrame, rules: list[RowRule]) -> Findings:
         F.col("_event_ord").alias("ord"),
         x.null_string().alias("value"),
     )
-    return Findings(conform(findings), triggers)
+    return Findings(conform(findings), triggers, left_out)
 
 
 def with_logon_entry(extra: Column, logon: Column) -> Column:
@@ -292,25 +308,30 @@ def conform_triggers(triggers: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ entry point
 def detect(
-    events: DataFrame, rules: RuleSet | None = None, channels: list[str] | None = None
+    events: DataFrame, rules: RuleSet | None = None, channels: list[str] | None = None, stage: bool = False
 ) -> Findings:
-    """Run the rules over normalised events, optionally over chosen channels only."""
+    """Run the rules over normalised events, optionally over chosen channels only.
+
+    A rule that cannot be built does not stop the others; the result names it in ``left_out``.
+    """
     rules = rules or RuleSet.default()
     if channels:
         events = events.where(F.col("channel").isin(*channels))
     view = rule_view(events)
-    result = row_findings(view, rules.row_rules) if rules.row_rules else None
+    result = row_findings(view, rules.row_rules, stage) if rules.row_rules else None
+    left_out: tuple[str, ...] = ()
     for name, rule in rules.set_rules.items():
         try:
             found = rule(view)
             found = Findings(conform(found.findings), conform_triggers(found.triggers))
         except Exception as error:  # noqa: BLE001 - one faulty rule must not stop the others
             log.warning("set rule %s left out: %s", name, error)
+            left_out += (name,)
             continue
         result = found if result is None else result.union(found)
     if result is None:
         raise ValueError("no rule to run")
-    return result
+    return replace(result, left_out=result.left_out + left_out)
 
 
 __all__ = ["Findings", "RuleSet", "SetRule", "detect", "row_findings", "row_hits", "RULE_NUMBER"]

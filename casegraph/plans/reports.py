@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
@@ -329,9 +328,3 @@ def correlation_summary(
             F.flatten(F.map_values("collector_ip")), F.array().cast("array<string>")
         ).alias("collector_ips"),
     )
-
-
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """First k rows per group; evaluated as a partial top-k before the shuffle."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).where(c("rank") <= k)

@@ -15,6 +15,7 @@ from casegraph.functions import exprs as x
 from casegraph.operators.ordered import with_next
 from casegraph.plans.catalog import RULE_NUMBER, rule_catalog
 from casegraph.plans.rules_row import CAP_LIST, KEY_LIST, capability, session_capability, text
+from casegraph.session import cut_lineage
 
 c = F.col
 
@@ -213,7 +214,6 @@ def group_summaries(hits: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         first(first_row).alias("first"),
         first(c("src_ip"), x.non_empty(c("src_ip")).isNotNull()).alias("first_ip"),
-        first(c("logon_id"), c("logon_id").isNotNull()).alias("logon_id"),
         (spread / 1_000_000).alias("span"),
         F.max("is_probe").alias("is_probe"),
     )
@@ -232,10 +232,12 @@ def _case(rules: list[GroupRule], pick: Callable[[GroupRule], Column | None], de
 
 def group_findings(view: DataFrame, wanted: set[str] | None = None):
     """Findings of the group rules."""
-    from casegraph.plans.detect import Findings, with_logon, with_logon_entry
+    from casegraph.plans.detect import Findings, with_logon_entry
 
     rules = [r for r in group_rules() if wanted is None or r.rule_id in wanted]
-    hits = with_logon(group_hits(view, rules), view)
+    # Groups, triggers and samples all read the hits, and few groups fire: the hits are stored once,
+    # narrow, and the logon ids of other events are looked up for the hits of fired groups only.
+    hits = cut_lineage(group_hits(view, rules))
     summaries = group_summaries(hits)
     fired = summaries.where(_case(rules, lambda r: r.fires, F.lit(False))).withColumn(
         "id",
@@ -243,7 +245,9 @@ def group_findings(view: DataFrame, wanted: set[str] | None = None):
             c("collection_id"), c("channel"), c("rule_id"), F.array_join("key", "|", "∅")
         ),
     )
+    fired = cut_lineage(fired)
     triggers = _group_triggers(hits, fired)
+    fired = fired.join(_group_logons(hits, fired, view), GROUP_KEYS, "left")
 
     empty_map = F.create_map().cast("map<string,string>")
     fired = fired.join(_samples(triggers, rules), "id", "left").join(
@@ -312,6 +316,15 @@ def group_findings(view: DataFrame, wanted: set[str] | None = None):
     return Findings(findings, triggers)
 
 
+def _group_logons(hits: DataFrame, fired: DataFrame, view: DataFrame) -> DataFrame:
+    """First logon id among the events of each fired group."""
+    from casegraph.plans.detect import with_logon
+
+    own = with_logon(hits.join(fired.select(*GROUP_KEYS), GROUP_KEYS, "left_semi"), view)
+    item = F.struct(F.struct("sort_time", "ord").alias("o"), c("logon_id").alias("v"))
+    return own.where(c("logon_id").isNotNull()).groupBy(*GROUP_KEYS).agg(F.min(item)["v"].alias("logon_id"))
+
+
 def _group_triggers(hits: DataFrame, fired: DataFrame) -> DataFrame:
     """Events of the groups that fired; the fired side is unique per key, so skew can be split."""
     return hits.join(fired.select(*GROUP_KEYS, c("id").alias("finding_id")), GROUP_KEYS).select(
@@ -544,9 +557,14 @@ def login_findings(view: DataFrame, bucket_seconds: int = 3600):
     from casegraph.plans.detect import Findings, with_logon, with_logon_entry
 
     keys = ["collection_id", "channel", "src_ip"]
-    attempts = with_logon(login_attempts(view, bucket_seconds), view)
+    # Attempts are used several times below: one narrow stage table instead of as many plans.
+    needed = [
+        *keys, "id", "created", "ord", "own_logon_id", "is_probe", "succeeded", "event_time", "guid", "pid",
+        "parent_guid", "parent_pid", "process", "raw_user_name",
+    ]
+    attempts = with_logon(login_attempts(view, bucket_seconds).select(*needed), view)
     at = F.struct(c("created").alias("t"), c("ord").alias("o"))
-    attempts = attempts.withColumn("at", at)
+    attempts = cut_lineage(attempts.withColumn("at", at))
     failures = attempts.where(~c("succeeded"))
     nth = F.row_number().over(W.partitionBy(*keys).orderBy("at"))
     # row_number <= k is evaluated as a partial top-k before the shuffle.

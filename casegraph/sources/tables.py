@@ -44,6 +44,7 @@ def available_channels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_findings(found: Findings, path: str) -> None:
+    """Store both relations; what they share is stored by the rules' own stage tables."""
     _write(found.findings, f"{path}/findings", "collection_id", "channel")
     _write(found.triggers, f"{path}/triggers", "collection_id", "channel")
 
@@ -71,5 +72,13 @@ def write_summary(summary: DataFrame, path: str) -> None:
     _write(summary, f"{path}/summary", "collection_id")
 
 
+def write_quarantine(rows: DataFrame, path: str) -> None:
+    _write(rows, f"{path}/quarantine", "collection_id")
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/quarantine")
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/summary")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,8 +157,8 @@ def test_storage_and_detection(spark, events, tmp_path):
 def test_unparsed_and_hashes(collections):
     dropped = unparsed(src.event_log(collections, "security"), "security").collect()
     assert [(r["event_id"], r["dropped"]) for r in dropped] == [(9999, 1)]
-    hashes = {r["module"]: r["matches"] for r in src.module_hashes(collections).collect()}
-    assert len(hashes) == 6 and not any(hashes.values())
+    hashes = {r["module"]: r["declared"] for r in src.module_hashes(collections).collect()}
+    assert len(hashes) == 6 and hashes["registry"] == "ab" and hashes["network"] is None
 
 
 def test_reassembly_does_not_depend_on_block_size(collections):
@@ -227,6 +228,17 @@ def test_streamed_row_rules_equal_batch(spark, events, tmp_path):
     assert sorted(map(key, spark.table("rows").collect())) == sorted(map(key, batch.collect()))
 
 
+def stopped_after(query, rows):
+    """Stop a stream once it has read so many rows and run one batch more; timers keep it going by itself."""
+    for _ in range(600):
+        done = [p["numInputRows"] for p in query.recentProgress]
+        if sum(done) >= rows and done[-1] == 0:
+            break
+        time.sleep(0.1)
+    query.stop()
+    assert sum(done) >= rows
+
+
 def test_streamed_requests_equal_batch(spark, collections, tmp_path):
     from casegraph.streaming.streams import stream_requests
 
@@ -240,14 +252,87 @@ def test_streamed_requests_equal_batch(spark, collections, tmp_path):
     stream = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "in"))
     query = (
         stream_requests(stream).writeStream.format("memory").queryName("requests").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        .option("checkpointLocation", str(tmp_path / "cp")).start()
     )
-    query.awaitTermination(120)
+    stopped_after(query, chunks.count())
     got = sorted((r["client"], r["raw"]) for r in spark.table("requests").collect())
     want = sorted((r["client"], r["raw"]) for r in reassemble(chunks).collect())
     assert got == want and len(got) == 2
 
 
+def _streamed(spark, tmp_path, name, batches, idle_ms):
+    """Rows of a stream that gets one file after the other, each in a run of its own."""
+    from casegraph.streaming.streams import stream_requests
+
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    schema = "collection_id string, client string, ord bigint, time timestamp, chunk string"
+    for rows in batches:
+        df = spark.createDataFrame(rows, "collection_id string, client string, ord bigint, t long, chunk string")
+        df = df.withColumn("time", F.timestamp_seconds("t")).drop("t").select("collection_id", "client", "ord", "time", "chunk")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = (
+            stream_requests(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), idle_ms)
+            .writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "cp")).start()
+        )
+        stopped_after(query, len(rows))
+    return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("client", "raw", "complete").collect())
+
+
+HEAD = "POST /b HTTP/1.1\r\nContent-Length: 6\r\n\r\n"
+
+
+def test_stream_keeps_all_chunks_of_an_active_connection(spark, tmp_path):
+    batches = [[("c", "a", 1, 1, HEAD)], [("c", "a", 2, 2, "abc")], [("c", "a", 3, 3, "def")]]
+    assert _streamed(spark, tmp_path, "active", batches, 3_600_000) == [("a", HEAD + "abcdef", True)]
+
+
+def test_stream_gives_unfinished_requests_of_silent_connections(spark, tmp_path):
+    batches = [[("c", "a", 1, 1, HEAD), ("c", "a", 2, 2, "abc")], [("c", "b", 3, 3, HEAD + "123456")]]
+    got = _streamed(spark, tmp_path, "silent", batches, 1)
+    assert got == [("a", HEAD + "abc", False), ("b", HEAD + "123456", True)]
+
+
+def test_whole_run(spark, tmp_path):
+    """Graph, summary and rejected rows are stored and read back."""
+    from casegraph.plans.investigate import run
+
+    folder = tmp_path / "collections"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(DOCUMENT))
+    rules = RuleSet.of("WIN_USER_CREATED_001", "WIN_GROUP_ADD_001", "WIN_REMOTE_LOGIN_001", "TASK_WEBROOT_EXEC_001")
+    graph = run(spark, str(folder), str(tmp_path / "out"), rules)
+    found = tables.read_findings(spark, str(tmp_path / "out")).findings
+    assert graph.nodes.count() > 0 and graph.actors.count() > 0 and graph.node_events.count() > 0
+    summary = tables.read_summary(spark, str(tmp_path / "out")).collect()
+    assert [r["findings"] for r in summary] == [found.count()] and summary[0]["actors"] >= 1
+    assert summary[0]["events"] == tables.read_events(spark, str(tmp_path / "out")).count()
+    rejected = tables.read_quarantine(spark, str(tmp_path / "out"))
+    assert "reasons" in rejected.columns
+
+
+def test_faulty_rules_are_named(events):
+    def faulty(view):
+        raise RuntimeError("no")
+
+    rules = RuleSet.of("WIN_USER_CREATED_001").register(("faulty", faulty))
+    found = detect(events, rules)
+    assert found.left_out == ("faulty",) and found.findings.count() == 1
+
+
+def test_numbers_of_any_width(spark):
+    from casegraph.functions.exprs import hex_to_int
+
+    cases = {"0x1a2c": 6700, "0x0000000000001a2c": 6700, "0x0": 0, "0xffffffffffffffff": None, "0x7fffffffffffffff": 2**63 - 1,
+             "00000000000000000000000a": 10, "0xzz": None, "": None, None: None, "AB": 171}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", hex_to_int(F.col("t")).alias("v")).collect()}
+    assert got == cases
+
+
 def test_web_events_keep_request_text(collections):
     events = web_events(cut_lineage(src.web_entries(collections)))
     kinds = {r["event"]["dataset"] for r in events.select("event").collect()}
