@@ -51,8 +51,8 @@ def micros(time: Column) -> Column:
 
 
 def found(events: DataFrame, *rule_ids: str) -> DataFrame:
-    """Findings of some rules; normalised events are a stage boundary, as in a full run."""
-    return detect(cut_lineage(events), RuleSet.of(*rule_ids)).findings
+    """Findings of some rules."""
+    return detect(events, RuleSet.of(*rule_ids)).findings
 
 
 # ------------------------------------------------------------------ sources
@@ -353,7 +353,7 @@ def task_row_rules(spark, sf):
         "TASK_LOLBIN_001",
         "TASK_NON_SYSTEM_EXEC_001",
     )
-    return row_listing(out).withColumn("event_ord", F.floor(c("event_ord") / 1024).cast("bigint"))
+    return row_listing(out).withColumn("event_ord", F.shiftright("event_ord", 32))
 
 
 @query
@@ -388,7 +388,7 @@ def wmi_row_rules(spark, sf):
 @query
 def html_rules(spark, sf):
     """The pattern rules over whole page texts."""
-    pages = ad.spread(ad.table(spark, sf, "pages")).select(
+    pages = ad.table(spark, sf, "pages").select(
         lit("web").alias("collection_id"),
         lit("web_logs").alias("channel"),
         c("page_id").alias("id"),
@@ -575,12 +575,12 @@ def lineage_ranges(spark, sf):
 def fuzzy_passages(spark, sf):
     """Passages against their edited copies and all conversation turns, ratio 0.9."""
     passages = ad.table(spark, sf, "benchmark").select(lit("t").alias("g"), "item_id", "text")
+    # Even passages get a small edit, odd ones have every vowel replaced.
     edited = passages.withColumn(
         "text",
-        F.when(
-            c("item_id") % 2 == 0,
-            F.concat(F.expr("substring(text, 4)"), lit(" end"))
-        ).otherwise(F.concat(F.expr("substring(text, 1, 40)"), lit(" rewritten from here on"))),
+        F.when(c("item_id") % 2 == 0, F.concat(F.regexp_replace("text", "^(.)(.)", "$2$1"), lit(" end"))).otherwise(
+            F.translate("text", "aeiou", "xyxyx")
+        ),
     )
     turns = ad.table(spark, sf, "conversations").select(lit("t").alias("g"), "text")
     pairs = fuzzy_pairs(passages.drop("item_id"), edited.drop("item_id").unionByName(turns), ["g"])

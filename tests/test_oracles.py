@@ -10,6 +10,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 
+EMPTY = {"arp_poisoning"}
 ONLY = [n for n in os.environ.get("ONLY", "").split(",") if n]
 
 
@@ -44,7 +45,8 @@ def duck(sf_dir):
 def test_query(spark, sf_dir, duck, name):
     df = queries()[name](spark, sf_dir)
     got = as_rows(df.columns, [tuple(r) for r in df.collect()])
-    assert got or name in oracle_sql()
+    # A query may be empty only where nothing of its kind is in the smallest tables.
+    assert got or name in EMPTY
     sql = oracle_sql().get(name)
     if sql is None:
         return
