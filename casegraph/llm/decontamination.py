@@ -2,9 +2,10 @@
 
 Learning: texts are cut into passages of ``PASSAGE`` words.  A first pass counts, for each term (a hash
 bucket of a word), the passages that hold it.  A second pass multiplies the TF-IDF matrix of all
-passages, and then its transpose, with a random matrix; the orthonormal basis of the sum over all
-tasks, refined by the small eigenproblem, spans the leading right singular vectors (randomised SVD with
-one power step).  Tasks add up tables of fixed size, which Spark sums in row ranges.
+passages, and then its transpose, with a sparse random matrix (one sign for each term); the orthonormal
+basis of the sum over all tasks, refined by the small eigenproblem, spans the leading right singular
+vectors (randomised SVD with one power step).  Passages are scaled to length one by the length of their
+sketch.  Tasks add up tables of fixed size, which Spark sums in row ranges.
 
 Search: benchmark items are the query set and are sent in blocks of ``ITEMS_AT_ONCE`` to every document.
 Words are projected and added up in steps of ``STEP`` words, so windows near each item's length
@@ -22,7 +23,6 @@ an empty result.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,78 +30,72 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import bounded_batches, kept_rows, slices, table, texts_of
+from casegraph.llm.byte_words import Words, split
+from casegraph.llm.common import bounded_batches, kept_rows, table
 
-TERMS = 16_384
-RANK = 48
-SKETCH = 56
+TERM_BITS = 14
+TERMS = 1 << TERM_BITS
+RANK = 36
+SKETCH = 44
 PASSAGE = 48
 STEP = 8
 MIN_WORDS = 8
-MIN_COSINE = 0.55
+MIN_COSINE = 0.5
 MIN_COVER = 0.7
 MIN_COVER_ANSWER = 0.5
 ANSWER = 5
 ITEMS_AT_ONCE = 1000
 #: Longer items are searched by pieces of so many words; a leaked piece is a leak of the item.
 PIECE = 96
+#: Classes of words in the quick count of a piece's words; more classes let fewer chance hits pass.
+SEEN = 1024
 RANGE = 2048
-MEMO_WORDS = 200_000
+#: Bytes of the texts whose windows are compared in one go; a longer text is one alone.
+AT_ONCE = 1 << 19
 
 _WORD = re.compile(r"\w+")
 
 
-class Terms(dict):
-    """Hash bucket of a lower-case word; a memo of bounded size."""
-
-    def __missing__(self, word: str) -> int:
-        term = zlib.crc32(word.encode("utf-8", "replace")) % TERMS
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = term
-        return term
-
-
-_TERMS = Terms()
-
-
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def terms_of(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_TERMS.__getitem__, words), np.int32, len(words))
+def parts(texts: pa.Array, limit: int = AT_ONCE) -> Iterator[pa.Array]:
+    """Neighbouring texts of about ``limit`` bytes together, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > limit:
+            yield texts[start:i]
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield texts[start:]
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of all words, and the number of the passage each word is in (dense, from 0)."""
-    terms, numbers, made = [], [], 0
-    for text in texts:
-        found = terms_of(words_of(text))
-        if len(found):
-            terms.append(found)
-            numbers.append(np.arange(len(found)) // PASSAGE + made)
-            made += -(-len(found) // PASSAGE)
-    if not terms:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return np.concatenate(terms), np.concatenate(numbers)
+def passages(words: Words) -> tuple[np.ndarray, int]:
+    """The number of the passage each word is in (dense, from 0), and how many there are."""
+    made = -(-words.counts // PASSAGE)
+    first = np.repeat(np.cumsum(words.counts) - words.counts, words.counts)
+    inside = (np.arange(len(words.terms)) - first) // PASSAGE
+    return inside + np.repeat(np.cumsum(made) - made, words.counts), int(made.sum())
 
 
-def _summed_tables(docs: DataFrame, text: str, columns: int, table_of) -> np.ndarray:
-    """Sum over all texts of ``table_of(texts)`` (TERMS x columns), added up in Spark by row ranges."""
+def _summed_tables(docs: DataFrame, text: str, columns: int, add) -> np.ndarray:
+    """Sum over all texts of a TERMS x ``columns`` table that ``add(words, table)`` adds to, by row ranges."""
     ranges = TERMS // RANGE
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TERMS, columns))
         for batch in batches:
-            texts = texts_of(batch, "text")
-            for start, stop in slices(texts):
-                table_of(texts[start:stop], total)
-        parts = [total[i * RANGE : (i + 1) * RANGE].astype(np.float32).tobytes() for i in range(ranges)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], ["range", "sums"])
+            for part in parts(batch.column("text")):
+                add(split(part, TERM_BITS), total)
+        sums = [total[i * RANGE : (i + 1) * RANGE].astype(np.float32).tobytes() for i in range(ranges)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(sums, pa.binary())], ["range", "sums"])
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(RANGE * columns)
@@ -120,33 +114,36 @@ def _summed_tables(docs: DataFrame, text: str, columns: int, table_of) -> np.nda
     return out
 
 
-def passage_frequencies(texts: list[str], total: np.ndarray) -> None:
+def passage_frequencies(words: Words, total: np.ndarray) -> None:
     """Add, for each term, the passages that hold it; the last row of column 1 counts all passages."""
-    terms, numbers = passages(texts)
-    if not len(terms):
+    if not len(words.terms):
         return
-    pairs = np.unique(numbers * TERMS + terms)
-    total[:, 0] += np.bincount(pairs % TERMS, minlength=TERMS)
-    total[-1, 1] += numbers[-1] + 1
+    passage, made = passages(words)
+    order = np.argsort(words.terms, kind="stable")
+    term, row = words.terms[order], passage[order]
+    new = np.r_[True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])]
+    total[:, 0] += np.bincount(term[new], minlength=TERMS)
+    total[-1, 1] += made
+
+
+def test_matrix() -> tuple[np.ndarray, np.ndarray]:
+    """The sparse random matrix: the column and the sign of each term's single entry."""
+    rng = np.random.default_rng(11)
+    return rng.integers(0, SKETCH, TERMS), rng.choice([-1.0, 1.0], TERMS)
 
 
-def gram_sketch(texts: list[str], idf: np.ndarray, test: np.ndarray, total: np.ndarray) -> None:
-    """Add A^T (A test) for the TF-IDF rows of these texts' passages, each of length one."""
-    terms, numbers = passages(texts)
-    if not len(terms):
+def gram_sketch(words: Words, idf: np.ndarray, total: np.ndarray) -> None:
+    """Add A^T (A test) / idf for the TF-IDF rows of these texts' passages, each of about length one."""
+    if not len(words.terms):
         return
-    cells, counts = np.unique(numbers * TERMS + terms, return_counts=True)
-    row, term = cells // TERMS, cells % TERMS
-    value = (counts * idf[term]).astype(np.float32)
-    begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    length = np.sqrt(np.add.reduceat(value * value, begins))
-    value /= np.repeat(np.maximum(length, 1e-9), np.diff(np.r_[begins, len(row)]))
-    sketch = np.add.reduceat(test[term] * value[:, None], begins, axis=0)
-    back = sketch[row] * value[:, None]
-    order = np.argsort(term, kind="stable")
-    sorted_terms = term[order]
-    firsts = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
-    total[sorted_terms[firsts]] += np.add.reduceat(back[order], firsts, axis=0)
+    column, sign = test_matrix()
+    passage, made = passages(words)
+    sketch = np.bincount(
+        passage * SKETCH + column[words.terms], (sign * idf)[words.terms], made * SKETCH
+    ).reshape(made, SKETCH)
+    sketch = np.asfortranarray(sketch / np.maximum((sketch**2).sum(axis=1, keepdims=True), 1e-9))
+    for d in range(SKETCH):
+        total[:, d] += np.bincount(words.terms, sketch[:, d][passage], TERMS)
 
 
 @dataclass
@@ -155,10 +152,8 @@ class LatentSpace:
 
     projection: np.ndarray
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(self.projection.shape[1], np.float32)
-        v = self.projection[terms_of(words)].sum(axis=0)
+    def of(self, text: str) -> np.ndarray:
+        v = self.projection[split(pa.array([text]), TERM_BITS).terms].sum(axis=0)
         return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
@@ -170,13 +165,12 @@ def fit(docs: DataFrame, text: str = "text") -> LatentSpace:
     total = max(1.0, counts[-1, 1])
     # Smoothed as usual; a term in every passage keeps a small weight.
     idf = np.log((total + 1) / (counts[:, 0] + 1)) + 0.05
-    test = np.random.default_rng(11).choice([-1.0, 1.0], (TERMS, SKETCH)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), test))
-
-    def sketched(texts: list[str], sums: np.ndarray) -> None:
-        gram_sketch(texts, *shared.value, sums)
-
-    gram = _summed_tables(docs, text, SKETCH, sketched)
+    shared = spark.sparkContext.broadcast(idf)
+    gram = _summed_tables(docs, text, SKETCH, lambda words, sums: gram_sketch(words, shared.value, sums))
+    gram *= idf[:, None]
+    column, sign = test_matrix()
+    test = np.zeros((TERMS, SKETCH))
+    test[np.arange(TERMS), column] = sign
     # gram = G test with G = A^T A.  Nystrom: G is close to gram (test^T gram)^+ gram^T.
     basis, triangle = np.linalg.qr(gram)
     core = test.T @ gram
@@ -235,56 +229,85 @@ class Searcher:
         self.pieces = pieces
         self.projection = np.vstack([space.projection, np.zeros_like(space.projection[:1])])
         self.counts = [Counter(p.words) for p in pieces]
+        found = [split(pa.array([" ".join(p.words)]), TERM_BITS).terms % SEEN for p in pieces]
+        # The pieces' words, filled up with a number that no window holds.
+        self.seen = np.full((len(pieces), max(map(len, found))), SEEN + 1)
+        for i, terms in enumerate(found):
+            self.seen[i, : len(terms)] = terms
+        self.sizes = np.array([len(p.words) for p in pieces])
         groups: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             groups.setdefault(max(1, round(len(p.words) / STEP)), []).append(i)
         self.groups = {
-            steps: (np.array(members), np.stack([space.of(pieces[i].words) for i in members]).T)
+            steps: (np.array(members), np.stack([space.of(" ".join(pieces[i].words)) for i in members]).T)
             for steps, members in sorted(groups.items())
         }
 
-    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    def candidates(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
         """``(text, first word, end, piece)`` of windows whose cosine with a piece reaches the threshold.
 
-        ``texts`` are term arrays.  Windows start at every step; at the end of a text they are shorter.
+        Windows start at every step; at the end of a text they are shorter.
         """
-        counts = np.array([-(-len(t) // STEP) for t in texts])
-        padded = np.full(int(counts.sum()) * STEP, TERMS, np.int32)  # the row of TERMS is zero
+        counts = -(-words.counts // STEP)
         firsts = np.cumsum(counts) - counts
-        for first, terms in zip(firsts, texts, strict=True):
-            padded[first * STEP : first * STEP + len(terms)] = terms
-        sums = self.projection[padded].reshape(-1, STEP, self.projection.shape[1]).sum(axis=1)
-        owner = np.repeat(np.arange(len(texts)), counts)
+        padded = np.full(int(counts.sum()) * STEP, TERMS, np.int32)  # the row of TERMS is zero
+        before = np.cumsum(words.counts) - words.counts
+        padded[np.arange(len(words.terms)) + np.repeat(firsts * STEP - before, words.counts)] = words.terms
+        steps_of = [
+            self.projection[padded[i : i + (STEP << 12)]].reshape(-1, STEP, self.projection.shape[1]).sum(axis=1)
+            for i in range(0, len(padded), STEP << 12)
+        ]
+        if not steps_of:
+            return
+        sums = np.concatenate(steps_of)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        windows, size = sums.copy(), 1
         for steps, (members, queries) in self.groups.items():
-            windows = sums.copy()
-            for k in range(1, min(steps, len(sums))):
-                windows[:-k] += sums[k:] * (owner[k:] == owner[:-k])[:, None]
+            while size < steps:  # grow the windows of the last group by single steps
+                if size < len(sums):
+                    windows[:-size] += sums[size:] * (owner[size:] == owner[:-size])[:, None]
+                size += 1
             least = MIN_COSINE * np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
             at, which = np.nonzero(windows @ queries >= least)
-            start = (at - firsts[owner[at]]) * STEP
+            start, piece = (at - firsts[owner[at]]) * STEP, members[which]
+            likely = self.present(words, before, owner[at], start, steps, piece) >= MIN_COVER_ANSWER * self.sizes[piece]
             yield from zip(
-                owner[at].tolist(), start.tolist(), (start + steps * STEP).tolist(), members[which].tolist(), strict=True
-            )
+                owner[at][likely].tolist(), start[likely].tolist(), (start[likely] + steps * STEP).tolist(),
+                piece[likely].tolist(), strict=True,
+            )
+
+    def present(self, words: Words, before, text, start, steps: int, piece) -> np.ndarray:
+        """How many words of each piece occur in its window and the margin: never below a common subsequence."""
+        number = before[text] + start
+        windows, which = np.unique(number, return_inverse=True)
+        _, any_ = np.unique(number, return_index=True)
+        at = windows[:, None] + np.arange(-STEP, (steps + 1) * STEP)
+        first, last = before[text[any_]], before[text[any_]] + words.counts[text[any_]]
+        outside = (at < first[:, None]) | (at >= last[:, None])
+        terms = words.terms[np.clip(at, 0, len(words.terms) - 1)] % SEEN
+        holds_ = np.zeros((len(windows), SEEN + 2), bool)
+        holds_[np.arange(len(windows))[:, None], np.where(outside, SEEN, terms)] = True
+        out = np.empty(len(piece), np.int64)
+        for i in range(0, len(piece), 4096):
+            out[i : i + 4096] = holds_[which[i : i + 4096, None], self.seen[piece[i : i + 4096]]].sum(axis=1)
+        return out
 
-    def leaks(self, texts: list[str]) -> list[dict[int, tuple[float, bool, int]]]:
+    def leaks(self, texts: pa.Array) -> list[dict[int, tuple[float, bool, int]]]:
         """Of each text's leaked items: the best cover, whether the answer is there, and the place's first word."""
-        out: list[dict[int, tuple[float, bool, int]]] = []
-        for start, stop in slices(texts, 1 << 18):
-            out += self._leaks(texts[start:stop])
-        return out
+        return [found for part in parts(texts) for found in self._leaks(part)]
 
-    def _leaks(self, texts: list[str]) -> list[dict[int, tuple[float, bool, int]]]:
-        words = [words_of(t) for t in texts]
-        best: list[dict[int, tuple[float, bool, int]]] = [{} for _ in texts]
-        if not any(words):
-            return best
+    def _leaks(self, texts: pa.Array) -> list[dict[int, tuple[float, bool, int]]]:
+        words = split(texts, TERM_BITS)
+        before = np.cumsum(words.counts) - words.counts
+        best: list[dict[int, tuple[float, bool, int]]] = [{} for _ in range(len(texts))]
         held: tuple = ()
-        for text, start, end, i in self.candidates([terms_of(w) for w in words]):
+        for text, start, end, i in self.candidates(words):
             piece, m = self.pieces[i], len(self.pieces[i].words)
             # The window may be off by some steps; a passage lies inside it and a margin.
             at = max(0, start - STEP)
             if held[:3] != (text, at, end):  # candidates come window by window
-                part = words[text][at : end + STEP]
+                last = min(end + STEP, int(words.counts[text]))
+                part = words_of(words.text(before[text] + at, before[text] + last))
                 held = (text, at, end, part, Counter(part))
             part, there = held[3:]
             if sum([min(n, there[w]) for w, n in self.counts[i].items() if w in there]) < MIN_COVER_ANSWER * m:
@@ -325,7 +348,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: LatentSpace) -> DataFram
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, hits = [], []
-                for i, hit in enumerate(shared.value.leaks(texts_of(batch, "text"))):
+                for i, hit in enumerate(shared.value.leaks(batch.column("text"))):
                     for item, (cover, answer, word) in sorted(hit.items()):
                         rows.append(i)
                         hits.append((item, cover, answer, word))
@@ -342,7 +365,7 @@ def keep_unleaked(docs: DataFrame, benchmark: DataFrame, space: LatentSpace, tex
     """The rows whose text leaks no benchmark item."""
     for searcher in searchers(space, benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(searcher)
-        docs = kept_rows(docs, text, lambda texts, shared=shared: [not hit for hit in shared.value.leaks(texts)])
+        docs = kept_rows(docs, text, lambda texts, shared=shared: [not hit for hit in shared.value.leaks(pa.array(texts, pa.string()))])
     return docs
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from casegraph.llm import decontamination as D
@@ -60,7 +61,7 @@ def test_paraphrases(fitted):
             host = rng.choice(hosts)
             k = rng.randrange(len(host) + 1)
             text = " ".join(host[:k] + words + host[k:])
-            found.append(r["item_id"] in search.leaks([text])[0])
+            found.append(r["item_id"] in search.leaks(pa.array([text]))[0])
         assert np.mean(found) >= least
 
 
@@ -100,20 +101,39 @@ def test_subsequence():
         assert D.common_subsequence(a, b) == table[-1][-1]
 
 
-def test_latent_space_spans_the_leading_directions():
-    """Against a full decomposition of the same matrix."""
+def test_gram_sketch_is_the_product_of_the_matrix():
+    """Against the full matrix of the same passages."""
     rng = np.random.default_rng(0)
-    topics = [[f"t{k}x{i}" for i in range(30)] for k in range(6)]
-    texts = [" ".join(rng.choice(topics[i % 6], D.PASSAGE)) for i in range(120)]
+    texts = [" ".join(rng.choice([f"t{i % 6}x{k}" for k in range(30)], D.PASSAGE)) for i in range(120)]
+    words = D.split(pa.array(texts), D.TERM_BITS)
     counts, gram = np.zeros((D.TERMS, 2)), np.zeros((D.TERMS, D.SKETCH))
-    D.passage_frequencies(texts, counts)
+    D.passage_frequencies(words, counts)
     assert counts[-1, 1] == 120
+    rows = words.terms.reshape(120, D.PASSAGE)
+    assert np.array_equal(counts[:, 0], sum(np.bincount(np.unique(r), minlength=D.TERMS) for r in rows))
     idf = np.log(121 / (counts[:, 0] + 1)) + 0.05
-    test = rng.choice([-1.0, 1.0], (D.TERMS, D.SKETCH))
-    D.gram_sketch(texts, idf, test, gram)
+    D.gram_sketch(words, idf, gram)
     matrix = np.zeros((120, D.TERMS))
-    for i, t in enumerate(texts):
-        np.add.at(matrix[i], D.terms_of(D.words_of(t)), 1)
+    for i, r in enumerate(rows):
+        np.add.at(matrix[i], r, 1)
     matrix *= idf
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    assert np.allclose(gram, matrix.T @ (matrix @ test), atol=1e-4)
+    column, sign = D.test_matrix()
+    test = np.zeros((D.TERMS, D.SKETCH))
+    test[np.arange(D.TERMS), column] = sign
+    sketch = matrix @ test
+    want = (matrix / idf).T @ (sketch / (sketch**2).sum(axis=1, keepdims=True))
+    assert np.allclose(gram, want)
+
+
+def test_words_of_bytes():
+    texts = ["One two,one", None, "", "é-É x_1", "two", "a" * 3_000_000 + " two"]
+    words = D.split(pa.array(texts), 14)
+    assert words.counts.tolist() == [3, 0, 0, 3, 1, 2]
+    assert words.terms[0] == words.terms[2] and words.terms[1] == words.terms[6] == words.terms[8]
+    assert words.text(1, 3) == "two,one" and words.text(6, 7) == "two"
+    sliced = D.split(pa.array(texts).slice(3, 2), 14)
+    assert np.array_equal(sliced.terms, words.terms[3:7])
+    assert D.split(pa.array([], pa.string()), 14).counts.tolist() == []
+    many = [f"word{i} other{i % 7}" for i in range(60_000)]
+    whole = D.split(pa.array([" ".join(many)]), 14)
+    assert np.array_equal(whole.terms, D.split(pa.array(many), 14).terms)
