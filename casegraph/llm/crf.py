@@ -11,36 +11,43 @@ from __future__ import annotations
 import numpy as np
 
 
-def _rows(values: np.ndarray, width: int, fill: float) -> np.ndarray:
-    n = -(-len(values) // width)
-    out = np.full(n * width, fill, values.dtype)
-    out[: len(values)] = values
-    return out.reshape(n, width)
-
+def _scan(m00: np.ndarray, m01: np.ndarray, m10: np.ndarray, m11: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised vectors v_t = v_(t-1) M_t for all tokens, from (0.5, 0.5); M_t has the given entries."""
+    total = len(m00)
+    width = max(1, int(total**0.5))
+    n = -(-total // width)
 
-def _scan(first: np.ndarray, steps: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Normalised vectors v_t = v_(t-1) M_t for all tokens.
+    def steps(values: np.ndarray) -> np.ndarray:
+        """Row t holds token t of each of the n rows of tokens; 0.5 fills up."""
+        out = np.full(n * width, 0.5)
+        out[:total] = values
+        return np.ascontiguousarray(out.reshape(n, width).T)
 
-    ``steps``: n x width x 2 x 2 matrices in rows of ``width`` tokens; ``first``: the vector before all.
-    ``start`` is scratch for the vector before each row.
-    """
-    n, width = steps.shape[:2]
-    product = np.tile(np.eye(2), (n, 1, 1))
+    a, b, c, d = steps(m00), steps(m01), steps(m10), steps(m11)
+    p00, p01, p10, p11 = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
     for t in range(width):
-        product = product @ steps[:, t]
-        product /= product.sum(axis=(1, 2), keepdims=True)
-    v = first
-    for r in range(n):
-        start[r] = v
-        v = v @ product[r]
-        v = v / v.sum()
-    out = np.empty((n, width, 2))
-    v = start.copy()
+        p00, p01 = p00 * a[t] + p01 * c[t], p00 * b[t] + p01 * d[t]
+        p10, p11 = p10 * a[t] + p11 * c[t], p10 * b[t] + p11 * d[t]
+        scale = 1 / (p00 + p01 + p10 + p11)
+        p00 *= scale
+        p01 *= scale
+        p10 *= scale
+        p11 *= scale
+    first = np.empty(n)
+    v = 0.5
+    for r, (e, f, g, h) in enumerate(zip(p00.tolist(), p01.tolist(), p10.tolist(), p11.tolist(), strict=True)):
+        first[r] = v
+        zero, one = (1 - v) * e + v * g, (1 - v) * f + v * h
+        v = one / (zero + one)
+    out = np.empty((width, n))
+    v1 = first
     for t in range(width):
-        v = np.einsum("ni,nij->nj", v, steps[:, t])
-        v /= v.sum(axis=1, keepdims=True)
-        out[:, t] = v
-    return out
+        v0 = 1 - v1
+        zero, one = v0 * a[t] + v1 * c[t], v0 * b[t] + v1 * d[t]
+        v1 = one / (zero + one)
+        out[t] = v1
+    ones = np.ascontiguousarray(out.T).reshape(-1)[:total]
+    return 1 - ones, ones
 
 
 def marginals(
@@ -54,29 +61,28 @@ def marginals(
     total = len(scores)
     if not total:
         return np.zeros(0), np.zeros((0, 2, 2)) if pairs else None
-    width = max(1, int(total**0.5))
-    weight = np.exp(np.stack([np.zeros(total), np.clip(scores, -40, 40)], axis=1))
-    moves = np.broadcast_to(np.exp(transition), (total, 2, 2)).copy()
-    moves[starts] = np.exp(initial)[None, None, :]
+    weight = np.exp(np.clip(scores, -30, 30))
+    move, begin = np.exp(transition), np.exp(initial)
     # Both rows of a start matrix are the initial weights, so what came before has no effect.
-    forward_steps = moves * weight[:, None, :]
-    n = -(-total // width)
-    padded = np.tile(np.full((2, 2), 0.5), (n * width, 1, 1))
-    padded[:total] = forward_steps
-    alpha = _scan(np.array([0.5, 0.5]), padded.reshape(n, width, 2, 2), np.empty((n, 2))).reshape(-1, 2)[:total]
-    # Backward: beta_t = M_(t+1) beta_(t+1), read from the right with transposed matrices.
-    padded[:] = 0.5
-    padded[1:total] = forward_steps[:0:-1].transpose(0, 2, 1)
-    padded[0] = 0.5
-    beta = _scan(np.array([0.5, 0.5]), padded.reshape(n, width, 2, 2), np.empty((n, 2))).reshape(-1, 2)[:total][::-1]
-    both = alpha * beta
-    one = both[:, 1] / both.sum(axis=1)
+    m00 = np.where(starts, begin[0], move[0, 0])
+    m10 = np.where(starts, begin[0], move[1, 0])
+    m01 = np.where(starts, begin[1], move[0, 1]) * weight
+    m11 = np.where(starts, begin[1], move[1, 1]) * weight
+    a0, a1 = _scan(m00, m01, m10, m11)
+    # Backward: b_t = M_(t+1) b_(t+1), read from the right with transposed matrices.
+    later = [np.r_[0.5, m[:0:-1]] for m in (m00, m10, m01, m11)]
+    b0, b1 = (b[::-1] for b in _scan(*later))
+    zero, one = a0 * b0, a1 * b1
+    tagged = one / (zero + one)
     if not pairs:
-        return one, None
+        return tagged, None
     joint = np.zeros((total, 2, 2))
     inner = ~starts
     inner[0] = False
     at = np.flatnonzero(inner)
-    p = alpha[at - 1][:, :, None] * forward_steps[at] * beta[at][:, None, :]
-    joint[at] = p / p.sum(axis=(1, 2), keepdims=True)
-    return one, joint
+    joint[at, 0, 0] = a0[at - 1] * m00[at] * b0[at]
+    joint[at, 0, 1] = a0[at - 1] * m01[at] * b1[at]
+    joint[at, 1, 0] = a1[at - 1] * m10[at] * b0[at]
+    joint[at, 1, 1] = a1[at - 1] * m11[at] * b1[at]
+    joint[at] /= joint[at].sum(axis=(1, 2), keepdims=True)
+    return tagged, joint

@@ -71,46 +71,41 @@ class Field:
     initial: np.ndarray
     calibration: np.ndarray = field(default_factory=lambda: np.array([-20.0, 0.0, 0.0]))
     memo: dict[str, int] = field(default_factory=dict)
-    parts: list[tuple[float, float, float]] = field(default_factory=list)
+    parts: np.ndarray = field(default_factory=lambda: np.zeros((1024, 3)))
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}, "parts": []}
+        return {**self.__dict__, "memo": {}, "parts": np.zeros((1024, 3))}
 
     def _learn(self, word: str) -> int:
-        w = _slot(f"w={word.lower()}")
-        own = float(self.own[[_slot(f) for f in word_features(word)]].sum()) + self.bias
-        self.memo[word] = n = len(self.parts)
-        self.parts.append((own, float(self.before[w]), float(self.after[w])))
+        """Number of a word whose scores were not known; the word itself, the next word, the one before."""
+        slots = [_slot(f) for f in word_features(word)]
+        n = self.memo[word] = len(self.memo)
+        if n >= len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        own, w = self.own, slots[0]
+        self.parts[n] = sum([own[s] for s in slots], self.bias), self.before[w], self.after[w]
         return n
 
     def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each word being toxic, and the number of words of each text."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-            self.parts.clear()
-        memo, learn = self.memo, self._learn
-        ids: list[int] = []
-        starts: list[int] = []
-        sizes = []
-        for text in texts:
-            first = True
-            size = len(ids)
-            for token in _TOKEN.findall(text):
-                if token in _BREAKS:
-                    first = True
-                    continue
-                if first:
-                    starts.append(len(ids))
-                    first = False
-                n = memo.get(token)
-                ids.append(learn(token) if n is None else n)
-            sizes.append(len(ids) - size)
-        mark = np.zeros(len(ids), bool)
-        mark[starts] = True
-        if not ids:
-            return np.zeros(0), np.array(sizes)
-        part = np.array(self.parts)[ids]
-        return self.chain(part[:, 0], part[:, 1], part[:, 2], mark)[0], np.array(sizes)
+        known, learn = self.memo, self._learn
+        split = [_TOKEN.findall(t) for t in texts]
+        # Breaks are numbered like words, with the number -1.
+        numbers = np.array(
+            [-1 if t in _BREAKS else n if (n := known.get(t)) is not None else learn(t) for ts in split for t in ts], np.int64
+        )
+        text_of = np.repeat(np.arange(len(texts)), [len(ts) for ts in split])
+        word = numbers >= 0
+        sizes = np.bincount(text_of[word], minlength=len(texts))
+        at = np.flatnonzero(word)
+        if not len(at):
+            return np.zeros(0), sizes
+        # A chain starts after a break and at a text's first word.
+        starts = np.r_[True, (np.diff(at) > 1) | (np.diff(text_of[at]) > 0)]
+        part = self.parts[numbers[at]]
+        return self.chain(part[:, 0], part[:, 1], part[:, 2], starts)[0], sizes
 
     def chain(self, own, before, after, starts, pairs=False):
         scores = own.copy()
