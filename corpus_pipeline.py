@@ -1,4 +1,4 @@
-"""A corpus pipeline: language, toxicity, near-duplicates, benchmark leaks, packing.
+"""A corpus pipeline: language, toxicity, near-duplicates by fingerprint and by shingles, benchmark leaks, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which ``run`` writes as Parquet in the
 shared folder and reads again as the next stage's documents.  All stages but the last return the
@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegraph.llm import decontamination, language_id, packing, simhash, toxicity
+from casegraph.llm import decontamination, language_id, likeness, packing, simhash, toxicity
 from casegraph.llm.common import table
 from casegraph.session import ensure_checkpoint_dir
 
@@ -27,10 +27,15 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, by five-word shingles."""
+    """One document of each near-duplicate group, by fingerprints of five-word shingles."""
     return simhash.one_per_group(docs, words=5)
 
 
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents alike in 0.8 of their five-word shingles, which fingerprints tell apart, one of each group."""
+    return likeness.one_per_likeness(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontamination.keep_unleaked(docs, table(spark, sf_dir, "benchmark"), decontamination.fit(docs))
@@ -45,6 +50,7 @@ STAGES = [
     ("language_id", language),
     ("toxicity", clean),
     ("simhash_dedup", deduplicated),
+    ("near_copies", unlike),
     ("decontamination", decontaminated),
     ("best_fit_packing", packed),
 ]
