@@ -1,12 +1,14 @@
 """Words of many texts at once, as hash terms with their byte ranges.
 
-A word is a run of ASCII letters, digits, underscores and bytes of other characters; ASCII case is
-ignored.  Words are hashed by sums of byte codes times powers of an odd number modulo 2 ** 64, taken
+A word is a run of Unicode word characters (``\\w``) of the text in lower case: texts with other than
+ASCII characters are put in lower case, and their non-ASCII characters outside words become blanks,
+before bytes are looked at.  Words are hashed by sums of byte codes times powers of an odd number modulo 2 ** 64, taken
 from one running sum over the bytes, so no text is split in Python.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that are hashed in one go.
 _AT_ONCE = 1 << 20
+_OUTSIDE = re.compile(r"[^\w\x00-\x7f]+")
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +48,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Terms of all words, their byte ranges in ``data``, and the number of words of each text."""
+    """Terms of all words, their byte ranges in ``data`` (the folded texts), and the number of words of each text."""
 
     data: np.ndarray
     terms: np.ndarray
@@ -58,12 +61,22 @@ class Words:
         return self.data[self.starts[first] : self.ends[last - 1]].tobytes().decode("utf-8", "replace")
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """The texts with one case and with blanks for non-ASCII characters that are in no word; ASCII texts as they are."""
+    other = pc.invert(pc.string_is_ascii(texts))
+    if not pc.any(other).as_py():
+        return texts
+    found = [_OUTSIDE.sub(" ", t.lower()) for t in texts.filter(other).to_pylist()]
+    return pc.replace_with_mask(texts, other, pa.array(found, texts.type))
+
+
 def split(texts: pa.Array, bits: int) -> Words:
     """The words of the texts as terms of so many bits; null counts as empty."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    texts = folded(texts)
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
     edges = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)

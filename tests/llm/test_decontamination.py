@@ -137,3 +137,43 @@ def test_words_of_bytes():
     many = [f"word{i} other{i % 7}" for i in range(60_000)]
     whole = D.split(pa.array([" ".join(many)]), 14)
     assert np.array_equal(whole.terms, D.split(pa.array(many), 14).terms)
+
+
+VARIANTS = {
+    "no-break spaces": lambda ws: "\u00a0".join(ws),
+    "curly quotes": lambda ws: " ".join(f"\u201c{w}\u201d" for w in ws),
+    "dashes": lambda ws: "\u2014".join(ws),
+    "capitals": lambda ws: " ".join(ws).upper(),
+}
+HINDI = "\u092f\u0939 \u090f\u0915 \u0932\u0902\u092c\u093e \u092a\u094d\u0930\u0936\u094d\u0928 \u0939\u0948 \u0964 \u0907\u0938\u0915\u093e \u0909\u0924\u094d\u0924\u0930 \u0915\u094c\u0928 \u0926\u0947\u0917\u093e"
+CHINESE = "\u8fd9\u662f\u4e00\uff0c\u95ee\u9898\u4e8c\u3002\u7b54\u6848\u4e09\uff0c\u57fa\u51c6\u56db\u3001\u6587\u672c\u4e94\uff1b\u8bad\u7ec3\u516d\uff1a\u6570\u636e\u4e03\uff01\u6a21\u578b\u516b\uff1f\u7ed3\u679c\u4e5d"
+ACCENTS = "\u00e9t\u00e9 \u00e0 l\u2019\u00e9cole o\u00f9 na\u00efve \u00e2me gar\u00e7on d\u00e9j\u00e0 \u00f6ffnet \u00fcber \u00e9l\u00e8ve"
+
+
+def test_words_are_those_of_the_pieces():
+    """One word definition for documents and benchmark pieces, also in blanks, quotes and case outside ASCII."""
+    for text in (HINDI, CHINESE, ACCENTS, ACCENTS.upper(), "a\u00a0b \u201cc\u201d d\u2026e", "\u0130x \u1e9e _\u00b2"):
+        for form in (text, *(f(D.words_of(text)) for f in VARIANTS.values())):
+            words = D.split(pa.array([form]), D.TERM_BITS)
+            assert np.array_equal(words.terms, D.split(pa.array([" ".join(D.words_of(form))]), D.TERM_BITS).terms)
+            assert words.counts[0] == len(D.words_of(form))
+            assert D.words_of(words.text(0, len(words.terms))) == D.words_of(form)
+
+
+@pytest.mark.parametrize("variant", VARIANTS)
+def test_exact_copies_in_other_characters(fitted, variant):
+    docs, benchmark, space = fitted
+    items = benchmark.limit(60).collect()
+    search = D.Searcher(space, [p for r in items for p in D.pieces_of(r["item_id"], r["text"])])
+    texts = pa.array([VARIANTS[variant](D.words_of(r["text"])) for r in items])
+    assert all(r["item_id"] in found for r, found in zip(items, search.leaks(texts), strict=True))
+
+
+def test_exact_copies_in_other_scripts(spark):
+    docs = spark.createDataFrame(
+        [(1, HINDI.replace(" ", "\u00a0")), (2, f"\u300c{CHINESE}\u300d"), (3, ACCENTS.upper()), (4, "nothing of them")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, HINDI), (2, CHINESE), (3, ACCENTS)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in D.leaks(docs, items, D.fit(docs)).collect())
+    assert got == [(1, 1), (2, 2), (3, 3)]
