@@ -1,8 +1,10 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Labelled tokens come from labelled documents: words and word beginnings that are far more frequent in
-toxic than in clean sample documents (counted in Spark) mark the tokens of toxic documents as toxic;
-all tokens of clean documents are clean.  The field learns weights of hashed word, prefix and suffix
+toxic than in clean sample documents (counted in Spark, and tested against chance among all of them)
+mark the tokens of toxic documents as toxic; a toxic document without such a word is marked by its
+best-ranked one, if that one alone is unlikely by chance.  So no absolute number of labelled rows is
+asked for.  All tokens of clean documents are clean.  The field learns weights of hashed word, prefix and suffix
 features, of the neighbouring words, and of tag pairs.  Forward-backward marginals give each token's
 probability; a document's score comes from the largest one and from the expected number of toxic tokens,
 calibrated on the sample.  ``toxic_spans`` reports the offsets of the offending tokens.
@@ -13,7 +15,7 @@ language, source or id enters a score.  A sentence ends at a line end or a full
 exclamation mark; it is one chain, of any length.
 
 Defined results: null and empty texts have no token and get the lowest score; without labels of both
-kinds every score is 0; repeated rows stay; further columns are ignored; an empty table gives an empty
+kinds, or where no word tells them apart, every score is 0; repeated rows stay; further columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from casegraph.llm.common import bounded_batches, held_out, kept_rows, sample_below, slices, table, texts_of
 from casegraph.llm.crf import marginals
+from casegraph.session import cut_lineage
 
 SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 3000
@@ -39,9 +42,10 @@ SENTENCE_TOKENS = 60
 FEATURE_BITS = 16
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
-#: A word or beginning marks tokens from so many toxic documents and this ratio of shares on.
-MIN_TOXIC_DOCUMENTS = 6
+#: A word or beginning marks tokens from this ratio of shares on, if chance gives one such among all words
+#: with at most this probability; a toxic document's best-ranked word, if chance gives it alone with at most this.
 MIN_RATIO = 20.0
+CHANCE = 0.05
 MEMO_WORDS = 150_000
 FLOOR = 1e-7
 
@@ -229,29 +233,62 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def marking_features(sample: DataFrame) -> dict[str, float]:
-    """Words and beginnings that are far more frequent in toxic sample documents, with their ratio."""
+def chance(bad: int, good: int, share: float) -> float:
+    """Probability that of ``bad + good`` documents at least ``bad`` are toxic, at this share of toxic ones."""
+    n = bad + good
+    k = np.arange(bad, n + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    terms = logs[n] - logs[k] - logs[n - k] + k * np.log(share) + (n - k) * np.log1p(-share)
+    return float(np.exp(terms).sum())
+
+
+def marking_features(sample: DataFrame) -> set[str]:
+    """Words and beginnings that mark tokens of toxic documents."""
+
+    def features(text: str) -> set[str]:
+        return {f for w in set(_TOKEN.findall(text)) - _BREAKS for f in word_features(w) if f[0] != "s"}
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), texts_of(batch, "text"), strict=True):
-                found = {f for w in set(_TOKEN.findall(text)) - _BREAKS for f in word_features(w) if f[0] != "s"}
+                found = features(text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([toxic] * len(found), pa.int32()), pa.array(sorted(found), pa.string())], ["toxic", "feature"]
                 )
 
     total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(total) < 2:
-        return {}
-    counts = (
+        return set()
+    counts = cut_lineage(
         sample.select("toxic", "text")
         .mapInArrow(listed, "toxic int, feature string")
         .groupBy("feature")
-        .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+        .agg(F.sum("toxic").cast("int").alias("bad"), F.sum(1 - F.col("toxic")).cast("int").alias("good"))
+        .where("bad > 0")
     )
+    tested, share = counts.count(), total[1] / (total[0] + total[1])
     ratio = (F.col("bad") / total[1]) / ((F.col("good") + 0.5) / total[0])
-    rows = counts.where(F.col("bad") >= MIN_TOXIC_DOCUMENTS).where(ratio >= MIN_RATIO).select("feature", ratio.alias("ratio"))
-    return {r["feature"]: r["ratio"] for r in rows.collect()}
+    kept = counts.where((F.col("good") == 0) | (ratio >= MIN_RATIO)).withColumn("ratio", ratio)
+    ranks = {
+        r["feature"]: (p, -r["ratio"], r["feature"])
+        for r in kept.collect()
+        if (p := chance(r["bad"], r["good"], share)) <= CHANCE
+    }
+    marks = {f for f, (p, negative, _) in ranks.items() if p <= CHANCE / tested and -negative >= MIN_RATIO}
+    known = sample.sparkSession.sparkContext.broadcast((ranks, marks))  # bounded by the sample
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, sure = known.value
+        for batch in batches:
+            found = []
+            for text in texts_of(batch, "text"):
+                here = features(text)
+                if here.isdisjoint(sure) and (candidates := [ranked[f] for f in here if f in ranked]):
+                    found.append(min(candidates)[2])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set(found)), pa.string())], ["feature"])
+
+    more = sample.where("toxic = 1").select("text").mapInArrow(best, "feature string").distinct()
+    return marks | {r["feature"] for r in more.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:

@@ -123,3 +123,20 @@ def test_toxicity(big, odd, none):
     assert "idiot" in words
     empty = toxicity.fit(odd, labels.where("false"))
     assert max(r["score"] for r in toxicity.score(odd, empty).collect()) < 1e-6
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_toxic_words_of_few_labelled_documents(spark, size):
+    """However few rows are labelled, most toxic documents that were learned from are found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    learned = [r["predicted"] for r in rows if not r["held_out"] and truth.get(r["doc_id"]) == 1]
+    clean = [r["predicted"] for r in rows if truth.get(r["doc_id"]) == 0]
+    assert len(learned) >= 10 and np.mean(learned) >= 0.85 and np.mean(clean) <= 0.02
+
+
+def test_chance_is_the_binomial_tail():
+    assert toxicity.chance(2, 0, 0.1) == pytest.approx(0.01)
+    assert toxicity.chance(1, 1, 0.5) == pytest.approx(0.75)
+    assert toxicity.chance(0, 3, 0.2) == pytest.approx(1.0)
