@@ -8,10 +8,12 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch.  Texts are a few KB on average, so a batch stays at some MB;
 #: operators cut a batch further by characters (``slices``) before they build arrays.
 ROWS_PER_BATCH = 500
+BYTES_PER_BATCH = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -58,6 +61,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a whole row: nulls are marked by place, maps are hashed as JSON."""
+    parts: list[Column] = []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        parts += [F.to_json(F.struct(column)) if _holds_map(field.dataType) else column, column.isNull()]
+    return F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)
+
+
 def sample_below(key: Column, share: Column | float) -> Column:
     """True for a fixed pseudo-random ``share`` of the keys, the same on every run."""
     return (F.xxhash64(key, F.lit("sample")) / F.lit(2.0**64) + F.lit(0.5)) < share

@@ -11,6 +11,7 @@ from casegraph.llm.quality import op2_quality
 from casegraph.llm.sharding import ORACLE as SHARDING_SQL
 from casegraph.llm.sharding import op8_sharding
 from casegraph.llm.simhash import op1_simhash_dedup
+from casegraph.llm.suffix_dedup import op13_suffix_dedup
 from casegraph.llm.token_counts import op10_token_counts
 from casegraph.llm.toxicity import op9_toxicity
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLES = {"op8_sharding": SHARDING_SQL}

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import free_name, table
+from casegraph.llm.common import free_name, row_keys, table
 
 #: Number of shards of the registered query, and a prime over 100 times as large.
 SHARDS = 16
@@ -83,7 +83,7 @@ def write_shards(df: DataFrame, key: Column, owners: DataFrame, path: str, files
     """One folder for each shard; a shard with many rows is written by ``files_per_shard`` tasks."""
     out = placed(df, key, owners)
     shard = out.columns[-1]
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(files_per_shard))
+    salt = F.pmod(row_keys(df)[0], F.lit(files_per_shard))
     out.repartition(shard, salt).write.partitionBy(shard).parquet(path)
 
 

@@ -27,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import bounded_batches, free_name, table, texts_of
+from casegraph.llm.common import bounded_batches, free_name, row_keys, table, texts_of
 from casegraph.operators.components import connected_components
 from casegraph.session import cut_lineage
 
@@ -214,40 +214,49 @@ def component_ids(narrow: DataFrame, max_distance: int = 3) -> DataFrame:
     )
 
 
-def one_per_group(
+def group_firsts(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, max_distance: int = 3
 ) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest id, of equal ids any fixed row."""
-    row = free_name(docs, "row_hash")
-    marked = docs.withColumn(row, F.xxhash64(*docs.columns))
-    # ``of_id`` is never null, so that rows without an id meet in joins too.
-    of_id = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("of_id")
+    """``k1, k2, id, n``: row key of the row of each group that stays, its id, and its number of equal rows.
+
+    That is the smallest id, of equal ids the smallest key; ids that are null come last.
+    """
+    k1, k2 = row_keys(docs)
     narrow = cut_lineage(
         with_fingerprints(
-            marked.select(F.col(doc_id).alias("doc_id"), of_id, F.col(row).alias("row"), F.col(text).alias("text")),
+            docs.select(k1.alias("k1"), k2.alias("k2"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
             "fp", words=words,
         )
     )
-    members = narrow.join(component_ids(narrow, max_distance), "fp")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "of_id")
-    first = cut_lineage(
-        members.groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.of_id").alias("of_id"), F.col("w.row").alias(row))
-    )
-    id_text = free_name(marked, "id_text")
-    chosen = first.withColumnRenamed("of_id", id_text)
-    kept = marked.withColumn(id_text, F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).join(
-        chosen, [id_text, row], "left_semi"
+    rows = narrow.groupBy("k1", "k2").agg(
+        F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")
     )
-    # Rows that are equal in every column are one document; only they need another pass.
-    repeated = (
-        narrow.groupBy("of_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select(F.col("of_id").alias(id_text), F.col("row").alias(row))
-        .join(chosen, [id_text, row], "left_semi")
-    )
-    if not repeated.isEmpty():
-        once = kept.join(repeated, [id_text, row], "left_semi").dropDuplicates([id_text, row])
-        kept = kept.join(repeated, [id_text, row], "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2", "n").alias("w")
+    first = rows.join(component_ids(narrow, max_distance), "fp").groupBy("component").agg(F.min(order).alias("w"))
+    return cut_lineage(first.select("w.k1", "w.k2", F.col("w.doc_id").alias("id"), "w.n"))
+
+
+def rows_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with these keys; rows that are equal in every column are one document."""
+    k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
+    named = firsts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("n").alias(free_name(docs, "n")))
+    first, second = row_keys(docs)
+    marked = docs.withColumns({k1: first, k2: second})
+    many = named.where(F.col(named.columns[2]) > 1)
+    kept = marked.join(named, [k1, k2], "left_semi")
+    if not many.isEmpty():
+        once = marked.join(many, [k1, k2], "left_semi")
+        numbered = once.withColumn(free_name(marked, "i"), F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(1))))
+        once = numbered.where(F.col(numbered.columns[-1]) == 1).drop(numbered.columns[-1])
+        kept = kept.join(many, [k1, k2], "left_anti").unionByName(once)
+    return kept.select(*(f"`{c}`" for c in docs.columns))
+
+
+def one_per_group(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, max_distance: int = 3
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id, of equal ids any fixed row."""
+    return rows_of(docs, group_firsts(docs, text, doc_id, words, max_distance))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

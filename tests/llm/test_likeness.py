@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from casegraph.llm import likeness
+from casegraph.llm import likeness, simhash
 
 
 def shingled(text):
@@ -34,16 +34,32 @@ def roots(ids, pairs):
     return set(low.values())
 
 
-def test_pipeline_stages_leave_no_near_copy(spark, sf_dir, documents):
-    """Of the stages' output, no two texts are alike; 3 of 64 bits alone leave two such pairs here."""
+def test_simhash_leaves_pairs_that_the_stage_finds(spark, sf_dir, documents):
+    """3 of 64 bits alone leave alike texts here; the stage leaves none."""
     stages = dict(corpus_pipeline.STAGES)
-    before = stages["simhash_dedup"](spark, documents, sf_dir).cache()
-    rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    pairs = alike(rows)
-    assert pairs
-    out = stages["near_copies"](spark, before, sf_dir)
-    assert out.columns == documents.columns
-    assert {r["doc_id"] for r in out.collect()} == roots([i for i, _ in rows], pairs)
+    before = [(r["doc_id"], r["text"]) for r in simhash.one_per_group(documents, words=5).collect()]
+    assert alike(before)
+    after = stages["simhash_dedup"](spark, documents, sf_dir)
+    assert after.columns == documents.columns
+    assert {r["doc_id"] for r in after.collect()} == roots([i for i, _ in before], alike(before))
+
+
+def test_links_grow_with_the_rows(spark):
+    """Twice as many near copies give twice as many links at most: one for a row and leader, however small the block."""
+
+    def count(n):
+        rng = random.Random(6)
+        words, rows = [f"h{rng.randrange(500)}" for _ in range(120)], []
+        for k in range(n):
+            changed = list(words)
+            changed[rng.randrange(120)] = f"y{k}"
+            rows.append((k, " ".join(changed)))
+        pairs = [(r["src"], r["dst"]) for r in likeness.links(spark.createDataFrame(rows, "row long, text string"), 16).collect()]
+        assert len(roots(range(n), pairs)) == 1
+        return len(pairs)
+
+    few, many = count(300), count(600)
+    assert many <= 2.2 * few and few <= 8 * 300
 
 
 def test_changed_copies(spark):
@@ -77,3 +93,19 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(4) == 3 and 5 not in ids and ids.count(None) == 2 and {1, 2, 3, 6, 7, 8, 9} <= set(ids)
+
+
+def test_rows_are_told_apart(spark):
+    """Nulls in other places, and columns of maps, arrays and structs."""
+    rows = [
+        (None, "one two three four five six seven", None, {"a": 1}, [1], (1,)),
+        (None, None, "one two three four five six seven", {"a": 1}, [1], (1,)),
+        (None, None, None, None, None, None),
+        (1, "one two three four five six seven", None, {"a": 2}, None, None),
+        (1, "one two three four five six seven", None, {"a": 2}, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string, m map<string,int>, n array<int>, s struct<a:int>")
+    got = simhash.one_per_group(df).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])[:3]) for r in got) == [("1", "one"), ("None", "Non")]
+    kept = likeness.one_per_likeness(df)
+    assert kept.columns == df.columns and kept.count() == 4
