@@ -1,4 +1,4 @@
-"""A corpus pipeline: language, toxicity, near-duplicates by fingerprint and by shingles, benchmark leaks, packing.
+"""A corpus pipeline: language, toxicity, near-duplicates, benchmark leaks, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which ``run`` writes as Parquet in the
 shared folder and reads again as the next stage's documents.  All stages but the last return the
@@ -27,13 +27,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, by fingerprints of five-word shingles."""
-    return simhash.one_per_group(docs, words=5)
+    """One document of each near-duplicate group.
 
-
-def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in 0.8 of their five-word shingles, which fingerprints tell apart, one of each group."""
-    return likeness.one_per_likeness(docs)
+    Fingerprints of five-word shingles find most groups; of what they leave, texts whose shingles are
+    alike in 0.8 or more, which fingerprints can tell apart, are groups too.
+    """
+    firsts = simhash.group_firsts(docs, words=5)
+    return simhash.rows_of(docs, likeness.alike_firsts(docs, firsts))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,6 @@ STAGES = [
     ("language_id", language),
     ("toxicity", clean),
     ("simhash_dedup", deduplicated),
-    ("near_copies", unlike),
     ("decontamination", decontaminated),
     ("best_fit_packing", packed),
 ]
