@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from casegraph.llm.decontamination import op5_decontamination
+from casegraph.llm.hard_negatives import ORACLE as NEGATIVES_SQL
+from casegraph.llm.hard_negatives import op12_hard_negatives
 from casegraph.llm.html_extraction import op7_html_extraction
 from casegraph.llm.language_id import op4_language_id
 from casegraph.llm.media import op3_media_columns
@@ -26,7 +28,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
-ORACLES = {"op8_sharding": SHARDING_SQL}
+ORACLES = {"op8_sharding": SHARDING_SQL, "op12_hard_negatives": NEGATIVES_SQL}
