@@ -14,6 +14,7 @@ from casegraph.llm.sharding import ORACLE as SHARDING_SQL
 from casegraph.llm.sharding import op8_sharding
 from casegraph.llm.simhash import op1_simhash_dedup
 from casegraph.llm.suffix_dedup import op13_suffix_dedup
+from casegraph.llm.token_alignment import op11_token_alignment
 from casegraph.llm.token_counts import op10_token_counts
 from casegraph.llm.toxicity import op9_toxicity
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
