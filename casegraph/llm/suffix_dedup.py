@@ -305,7 +305,8 @@ def removed_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     narrow = cut_lineage(keyed.select("k1", "k2", "doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes")))
     firsts = narrow.groupBy("k1", "k2").agg(F.min("doc").alias("doc"))
     texts = keyed.select("k1", "k2", "doc", "text").join(firsts, ["k1", "k2", "doc"], "left_semi")
-    done = _pieces_done(cut_lineage(texts.mapInArrow(_blocks, _BLOCK)))
+    # Read twice below; without the stored table all its work would be done twice.
+    done = cut_lineage(_pieces_done(cut_lineage(texts.mapInArrow(_blocks, _BLOCK))))
     whole = done.where("own IS NULL").select("k1", "k2", "n_removed", "n_spans", "kept_sha256")
     cut = done.where("own IS NOT NULL").select("k1", "k2", "start", "own", "runs")
     long_ones = cut.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "start").mapInArrow(
