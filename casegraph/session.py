@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -52,6 +53,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back the shuffle files of finished stages now.
+
+    Spark removes them once the driver's garbage collector finds that nobody refers to them, which may
+    be long after a large job went on to its next stage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs survive executor loss and keep a short plan."""
     ensure_checkpoint_dir(df.sparkSession)
