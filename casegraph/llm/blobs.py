@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys that meet in one part, about.
-KEYS_A_PART = 4_000_000
+KEYS_A_PART = 2_000_000
 LEAST_PARTS = 64
 ASKED = "block long, part int, asked binary"
 ANSWERED = "block long, part int, answer binary"

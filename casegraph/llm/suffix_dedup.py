@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from casegraph.llm import blobs
 from casegraph.llm.common import bounded_batches, table
-from casegraph.session import cut_lineage
+from casegraph.session import cut_lineage, release
 
 WINDOW = 50
 PERIOD = 21
@@ -324,6 +324,7 @@ def removed_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def _pieces_done(blocks: DataFrame) -> DataFrame:
     """A row for each piece of ``blocks``: the result of a whole document, or the piece's bytes and runs."""
+    spark = blocks.sparkSession
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = blobs.parts_for(total * len(COVER) // PERIOD)
 
@@ -358,9 +359,11 @@ def _pieces_done(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], columns)
 
     shared = cut_lineage(blobs.returned(blobs.answered(blocks.mapInArrow(sampled, blobs.ASKED), _recurring), "shared"))
+    release(spark)  # the shuffles of the texts and the sample names
     with_shared = blocks.join(shared, "block", "left")
     asked = with_shared.mapInArrow(tied, blobs.ASKED)
     yielding = cut_lineage(blobs.returned(blobs.answered(asked, _yielding), "yielding"))
+    release(spark)  # that of the long ties
     return with_shared.join(yielding, "block", "left").mapInArrow(finished, _DONE)
 
 
