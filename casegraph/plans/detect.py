@@ -18,6 +18,7 @@ from casegraph.functions import exprs as x
 from casegraph.functions.events import rule_view
 from casegraph.plans import rules_set
 from casegraph.plans.catalog import RULE_NUMBER, rule_catalog
+from casegraph.plans.guarded import surviving
 from casegraph.plans.rules_row import (
     CAP_LIST,
     KEY_LIST,
@@ -39,14 +40,17 @@ class Findings:
 
     findings: DataFrame
     triggers: DataFrame
-    #: Names of the rules that could not be built and so have no findings here.
+    #: Names of the rules that could not be built or run and so have no findings here.
     left_out: tuple[str, ...] = ()
+    #: The rules among them that failed while they ran, each with its error.
+    faults: tuple[tuple[str, str], ...] = ()
 
     def union(self, other: Findings) -> Findings:
         return Findings(
             self.findings.unionByName(other.findings),
             self.triggers.unionByName(other.triggers),
             self.left_out + other.left_out,
+            self.faults + other.faults,
         )
 
 
@@ -307,31 +311,87 @@ def conform_triggers(triggers: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ entry point
+def _probe(view: DataFrame) -> None:
+    """Read all that rules read, without a rule."""
+    view.write.format("noop").mode("overwrite").save()
+
+
+def _row_jobs(view: DataFrame, rules: list[RowRule]) -> Findings | None:
+    """Findings of the row rules, stored; rules that fail while they run are left out and named."""
+    found, faults = surviving(rules, lambda some: row_findings(view, some, stage=True), lambda: _probe(view))
+    failed = tuple((rule.rule_id, error) for rule, error in faults)
+    return _joined(found, failed)
+
+
+def _set_jobs(view: DataFrame, name: str, job: SetRule) -> Findings | None:
+    """Findings of one set job, stored; a job of several rules is halved by them."""
+
+    def attempt(some: list[str]) -> Findings:
+        chosen = rules_set.select_set_rules({name: job}, set(some))[name] if some != [name] else job
+        found = chosen(view)
+        return Findings(cut_lineage(conform(found.findings)), cut_lineage(conform_triggers(found.triggers)))
+
+    found, faults = surviving(rules_set.rules_of(name, job), attempt, lambda: _probe(view))
+    return _joined(found, tuple(faults))
+
+
+def _joined(found: list[Findings], faults: tuple[tuple[str, str], ...]) -> Findings | None:
+    if not found:
+        return None if not faults else Findings(None, None, tuple(n for n, _ in faults), faults)
+    result = found[0]
+    for part in found[1:]:
+        result = result.union(part)
+    return replace(result, left_out=result.left_out + tuple(n for n, _ in faults), faults=faults)
+
+
 def detect(
     events: DataFrame, rules: RuleSet | None = None, channels: list[str] | None = None, stage: bool = False
 ) -> Findings:
     """Run the rules over normalised events, optionally over chosen channels only.
 
-    A rule that cannot be built does not stop the others; the result names it in ``left_out``.
+    A rule that cannot be built does not stop the others; the result names it in ``left_out``.  With
+    ``stage`` the jobs run here and their findings are stored, and a rule that fails while it runs is
+    left out as well and named in ``faults``.
     """
     rules = rules or RuleSet.default()
     if channels:
         events = events.where(F.col("channel").isin(*channels))
     view = rule_view(events)
-    result = row_findings(view, rules.row_rules, stage) if rules.row_rules else None
+    parts: list[Findings] = []
     left_out: tuple[str, ...] = ()
+    if rules.row_rules:
+        parts.append(_row_jobs(view, rules.row_rules) if stage else row_findings(view, rules.row_rules))
     for name, rule in rules.set_rules.items():
         try:
+            if stage:
+                parts.append(_set_jobs(view, name, rule))
+                continue
             found = rule(view)
-            found = Findings(conform(found.findings), conform_triggers(found.triggers))
+            parts.append(Findings(conform(found.findings), conform_triggers(found.triggers)))
         except Exception as error:  # noqa: BLE001 - one faulty rule must not stop the others
+            if stage:
+                _probe(view)
             log.warning("set rule %s left out: %s", name, error)
             left_out += (name,)
-            continue
-        result = found if result is None else result.union(found)
-    if result is None:
-        raise ValueError("no rule to run")
-    return replace(result, left_out=result.left_out + left_out)
+    faults = tuple(f for p in parts for f in p.faults)
+    left_out = tuple(n for p in parts for n in p.left_out) + left_out
+    found = [p for p in parts if p.findings is not None]
+    if not found:
+        if not left_out:
+            raise ValueError("no rule to run")
+        return Findings(*_none(view.sparkSession), left_out, faults)
+    return replace(_joined(found, ()), left_out=left_out, faults=faults)
+
+
+def _none(spark) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], FINDING_DDL), spark.createDataFrame([], TRIGGER_DDL)
+
+
+def rule_faults(spark, found: Findings) -> DataFrame:
+    """``rule_id, error``: the rules without findings; the error is null where it came while planning."""
+    errors = dict(found.faults)
+    rows = [(n, errors.get(n)) for n in dict.fromkeys(found.left_out)]
+    return spark.createDataFrame(rows, "rule_id string, error string")
 
 
-__all__ = ["Findings", "RuleSet", "SetRule", "detect", "row_findings", "row_hits", "RULE_NUMBER"]
+__all__ = ["Findings", "RuleSet", "SetRule", "detect", "row_findings", "row_hits", "rule_faults", "RULE_NUMBER"]

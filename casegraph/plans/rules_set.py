@@ -684,6 +684,15 @@ def default_set_rules() -> dict[str, Callable]:
     }
 
 
+def rules_of(name: str, job: Callable) -> list[str]:
+    """The rules of a job, in order; a job of its own is one rule."""
+    known = {"group_rules": _GROUP_RULES, "script_blocks": _SCRIPT_RULES}.get(name)
+    if known is None:
+        return [name]
+    wanted = getattr(job, "keywords", {}).get("wanted") or known
+    return sorted(wanted)
+
+
 def select_set_rules(rules: dict[str, Callable], wanted: set[str]) -> dict[str, Callable]:
     chosen: dict[str, Callable] = {}
     for name, job in rules.items():

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.plans.correlate import Graph
-from casegraph.plans.detect import Findings
+from casegraph.plans.detect import Findings, rule_faults
 
 
 def _write(df: DataFrame, path: str, *partitions: str) -> None:
@@ -47,6 +47,11 @@ def write_findings(found: Findings, path: str) -> None:
     """Store both relations; what they share is stored by the rules' own stage tables."""
     _write(found.findings, f"{path}/findings", "collection_id", "channel")
     _write(found.triggers, f"{path}/triggers", "collection_id", "channel")
+    _write(rule_faults(found.findings.sparkSession, found), f"{path}/rule_faults")
+
+
+def read_rule_faults(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rule_faults")
 
 
 def read_findings(spark: SparkSession, path: str, channels: list[str] | None = None) -> Findings:

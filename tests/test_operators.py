@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from casegraph.operators.components import connected_components
-from casegraph.operators.fuzzy import fuzzy_pairs
+from casegraph.operators.fuzzy import common_length, fuzzy_pairs
 from casegraph.operators.linking import expand_links, time_window_links
 from casegraph.operators.nearest import nearest_join
 from casegraph.operators.ordered import with_next, with_running
@@ -197,3 +197,40 @@ def test_fuzzy_pairs_lose_nothing(spark):
         and SequenceMatcher(None, a.strip().lower(), b.strip().lower()).ratio() >= 0.9
     }
     assert got == want
+
+
+def test_common_length_bounds_the_matcher():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd🙂") for _ in range(rng.randrange(30))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+        assert common_length(a, b) == best[-1][-1]
+        assert 2 * common_length(a, b) >= round(SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)))
+
+
+def test_fuzzy_pairs_in_many_blocks(spark):
+    """Long texts with edits around the threshold, several keys, blocks of a few texts."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefg hij") for _ in range(n)) for n in (60, 110, 240, 250)]
+    rows = []
+    for _ in range(120):
+        text = list(rng.choice(base))
+        for _ in range(rng.randrange(int(0.3 * len(text)))):
+            at = rng.randrange(len(text))
+            kind = rng.random()
+            text[at : at + 1] = [] if kind < 0.4 else [rng.choice("xyz")] if kind < 0.7 else [text[at], "é"]
+        rows.append((rng.choice("kl"), "".join(text)))
+    left, right = rows[:60], rows[60:]
+    frames = [spark.createDataFrame(side, "g string, text string") for side in (left, right)]
+    want = {
+        (g, a, b) for g, a in left for h, b in right
+        if g == h and SequenceMatcher(None, a.strip(), b.strip()).ratio() >= 0.9
+    }
+    assert want
+    for block in (7, 2048):
+        got = {(r["g"], r["left_text"], r["right_text"]) for r in fuzzy_pairs(*frames, ["g"], block).collect()}
+        assert got == want
+
