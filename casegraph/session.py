@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,11 @@ def release(spark: SparkSession) -> None:
     """Give back the shuffle files of finished stages now.
 
     Spark removes them once the driver's garbage collector finds that nobody refers to them, which may
-    be long after a large job went on to its next stage.
+    be long after a large job went on to its next stage.  The bridge to the JVM passes on about once a
+    second which frames Python has given up.
     """
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
