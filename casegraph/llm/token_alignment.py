@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -44,9 +45,9 @@ from casegraph.session import cut_lineage
 
 #: Characters of a block and of a run, which is tokenised at once.
 BLOCK_CHARS = 8 << 20
-RUN_CHARS = 2 << 20
+RUN_CHARS = 4 << 20
 #: Bounds of a worker's memo of tokenised units.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 500_000
 MEMO_CHARS = 40
 _B_BITS = 20
 _B_MASK = (1 << _B_BITS) - 1
@@ -116,22 +117,25 @@ class Pair:
             if data and (data not in ids or not self.b.is_byte(i)):
                 ids[data] = i
         self.same = np.array([ids.get(data, -1) for data in bytes_a], np.int64)
-        self.memo: dict[str, tuple[list[int], list[int]]] = {}
-
-    def tokens(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The A and B ids of each unit after a space."""
-        new = [u for u in units if u not in self.memo]
-        if not new:
-            return [self.memo[u] for u in units]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False)]
-        found = dict(zip(new, zip(ids_a, self.b.encode(new, num_threads=1), strict=True), strict=True))
-        memo = self.memo
-        out = [found.get(u) or memo[u] for u in units]
-        if len(memo) + len(found) > MEMO_UNITS:
-            memo.clear()
-        memo.update((u, x) for u, x in found.items() if len(u) <= MEMO_CHARS)
+        self.memo: dict[str, tuple[bytes, bytes, str]] = {}
+
+    def tokens(self, units: list[str]) -> list[tuple[bytes, bytes, str | None]]:
+        """The A and B ids of each unit after a space, as 32-bit numbers, and its groups as text, if known."""
+        known = self.memo.get
+        out = [known(u) for u in units]
+        new = [i for i, x in enumerate(out) if x is None]
+        if new:
+            texts = [units[i] for i in new]
+            ids_a = self.a.encode_batch_fast([" " + u for u in texts], add_special_tokens=False)
+            for i, a, b in zip(new, ids_a, self.b.encode(texts, num_threads=1), strict=True):
+                out[i] = array("I", a.ids).tobytes(), array("I", b).tobytes(), None
         return out
 
+    def keep(self, units: list[str], tokens: list[tuple[bytes, bytes, str]]) -> None:
+        if len(self.memo) + len(units) > MEMO_UNITS:
+            self.memo.clear()
+        self.memo.update((u, t) for u, t in zip(units, tokens, strict=True) if len(u) <= MEMO_CHARS)
+
 
 @lru_cache(maxsize=2)
 def pair_of(a: str, b: str) -> Pair:
@@ -161,8 +165,9 @@ class Aligned:
 
     def __init__(self, pair: Pair, units: list[str]):
         tokens = pair.tokens(units)
-        count_a, count_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for t in tokens for i in t[k]), np.int64, int(n.sum())) for k, n in ((0, count_a), (1, count_b)))
+        side_a, side_b, shown = zip(*tokens, strict=True) if tokens else ((), (), ())
+        count_a, count_b = (np.fromiter(map(len, s), np.int64, len(s)) // 4 for s in (side_a, side_b))
+        a, b = (np.frombuffer(b"".join(s), np.uint32).astype(np.int64) for s in (side_a, side_b))
         text = [(" " + u).encode("utf-8", "replace") for u in units]
         size = np.array([len(t) for t in text], np.int64)
         unit_a, unit_b = np.repeat(np.arange(len(units)), count_a), np.repeat(np.arange(len(units)), count_b)
@@ -187,7 +192,16 @@ class Aligned:
         n = len(units)
         self.n_a, self.n_b, self.n_groups = (np.bincount(x, minlength=n) for x in (unit_a, unit_b, of_unit))
         self.n_links = np.bincount(of_unit, weights=(in_a * in_b).astype(np.float64), minlength=n).astype(np.int64)
-        self.shown = _shown(n, of_unit, a, b, first_a, in_a, first_b, in_b)
+        self.shown = list(shown)
+        new = [i for i, x in enumerate(shown) if x is None]
+        if new:
+            asked = np.zeros(n, bool)
+            asked[new] = True
+            some = asked[of_unit]
+            parts = _shown(of_unit[some], a, b, first_a[some], in_a[some], first_b[some], in_b[some])
+            for i in new:
+                self.shown[i] = ";".join(parts.get(i, ()))
+            pair.keep([units[i] for i in new], [(side_a[i], side_b[i], self.shown[i]) for i in new])
         one = (in_a == 1) & (in_b == 1)
         key_one = a[first_a[one]] << _B_BITS | b[first_b[one]]
         unit, key, times = _products(a, b, ~one, first_a, in_a, first_b, in_b, of_unit)
@@ -198,15 +212,16 @@ class Aligned:
         self.at = np.cumsum(self.count) - self.count
 
 
-def _shown(n: int, of_unit, a, b, first_a, in_a, first_b, in_b) -> list[str]:
-    """The groups of each unit as text: ``a1,a2|b1;a3|b2``."""
-    parts: list[list[str]] = [[] for _ in range(n)]
-    a, b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+def _shown(of_unit, a, b, first_a, in_a, first_b, in_b) -> dict[int, list[str]]:
+    """The groups of each unit as text: ``a1,a2|b1`` and so on."""
+    parts: dict[int, list[str]] = {}
+    a, b = a.tolist(), b.tolist()
     rows = zip(of_unit.tolist(), first_a.tolist(), in_a.tolist(), first_b.tolist(), in_b.tolist(), strict=True)
     for unit, i, k, j, m in rows:
-        left = a[i] if k == 1 else ",".join(a[i : i + k])
-        parts[unit].append(f"{left}|{b[j] if m == 1 else ','.join(b[j : j + m])}")
-    return [";".join(p) for p in parts]
+        left = a[i] if k == 1 else ",".join(map(str, a[i : i + k]))
+        right = b[j] if m == 1 else ",".join(map(str, b[j : j + m]))
+        parts.setdefault(unit, []).append(f"{left}|{right}")
+    return parts
 
 
 def _products(a, b, chosen, first_a, in_a, first_b, in_b, of_unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
