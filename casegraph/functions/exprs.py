@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegraph import fixed_values as fv
 
@@ -134,6 +135,11 @@ def ms_date(text: Column) -> Column:
     return F.when(millis > fv.EARLIEST_MS_DATE, F.timestamp_millis(millis))
 
 
+def ms_date_text(text: Column) -> Column:
+    """The digits of a ``/Date(ms)/`` text whatever their size; null for another form."""
+    return non_empty(F.regexp_extract(text, r"/Date\((-?\d+)\)/", 1))
+
+
 def task_date(text: Column) -> Column:
     """The only date form of scheduled tasks, ``/Date(ms)/``."""
     millis = non_empty(F.regexp_extract(text, r"/Date\((\d+)\)/", 1)).try_cast("bigint")
@@ -429,3 +435,36 @@ def any_of(conditions: list[Column]) -> Column:
 def stable_id(*parts: Column) -> Column:
     """Deterministic id, so that reruns give the same rows."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+# ------------------------------------------------------------------ nested output
+def pruned(value: Column, kind: T.DataType) -> Column:
+    """The value without its empty members at any depth; null if nothing is left.
+
+    Empty are nulls, empty texts, and structs, arrays and maps without a member that is left.  Zero and
+    false stay, as do binary values and keys of maps.  The type does not change.
+    """
+
+    def unless_empty(made: Column, keep) -> Column:
+        # A filter over one element names the value once, however deep it is nested.
+        return F.get(F.filter(F.array(made), keep), F.lit(0))
+
+    if isinstance(kind, T.StringType):
+        return F.when(value != "", value)
+    if isinstance(kind, T.StructType):
+        if not kind.fields:
+            return F.lit(None).cast(kind)
+        made = F.struct(*[pruned(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return unless_empty(made, lambda s: any_of([s.getField(f.name).isNotNull() for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        members = F.filter(F.transform(value, lambda e: pruned(e, kind.elementType)), lambda e: e.isNotNull())
+        return unless_empty(members, lambda a: F.size(a) > 0)
+    if isinstance(kind, T.MapType):
+        entries = F.map_filter(F.transform_values(value, lambda _, v: pruned(v, kind.valueType)), lambda _, v: v.isNotNull())
+        return unless_empty(entries, lambda m: F.size(m) > 0)
+    return value
+
+
+def pruned_json(value: Column, kind: T.DataType) -> Column:
+    """JSON text of a struct without empty members; an empty object if nothing is left."""
+    return F.coalesce(F.to_json(pruned(value, kind)), F.lit("{}"))
