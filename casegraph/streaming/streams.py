@@ -18,7 +18,7 @@ from casegraph.plans.rules_row import RowRule, default_row_rules
 def stream_row_findings(events: DataFrame, rules: list[RowRule] | None = None) -> DataFrame:
     """Row-rule findings of a stream of normalised events: stateless, same rules as in batch.
 
-    The logon id is the event's own; the lookup over other events needs a finished collection.
+    The logon id is the event's own; :func:`stream_logons` looks up that of the process.
     """
     view = rule_view(events)
     usable = usable_rules(view, rules or default_row_rules())
@@ -132,3 +132,96 @@ def _request_processor(request_line: str, idle_ms: int):
             pass
 
     return RequestProcessor()
+
+
+HELD_DDL = "collection_id STRING, channel STRING, event_id STRING, rule_id STRING, logon_id STRING"
+
+
+def stream_logons(
+    events: DataFrame, rules: list[RowRule] | None = None, delay: str = "10 minutes", hold_ms: int = 600_000, keep_ms: int = 86_400_000
+) -> DataFrame:
+    """``event_id, rule_id`` of the row-rule hits of a stream with the logon id that batch runs look up.
+
+    Hits with an id of their own, or without a process, pass at once.  The others wait, keyed by process,
+    until the watermark (``delay`` behind the latest event) is ``hold_ms`` past their event, so that a
+    create event may come in a later micro-batch; of several the first in order counts, as in batch.  A
+    process without events for ``keep_ms`` of event time is forgotten, so the state empties.
+    """
+    view = rule_view(events)
+    usable = usable_rules(view, rules or default_row_rules())
+    matched = F.array_compact(F.array(*[F.when(rule.when, F.lit(rule.rule_id)) for rule, _ in usable]))
+    lacking = F.col("guid").isNotNull() & F.col("own_logon_id").isNull()
+    creates = (F.col("code") == "1") & F.col("guid").isNotNull() & F.col("own_logon_id").isNotNull()
+    rows = view.select(
+        "collection_id", "channel", "guid", F.col("id").alias("event_id"), "ord", "own_logon_id",
+        F.coalesce("event_time", "created").alias("at"), lacking.alias("lacking"), creates.alias("creates"), x.once(matched).alias("rule_ids"),
+    )
+    own = rows.where("NOT lacking").withColumn("rule_id", F.explode("rule_ids")).select(
+        "collection_id", "channel", "event_id", "rule_id", F.col("own_logon_id").alias("logon_id")
+    )
+    keyed = rows.where(F.col("creates") | (F.col("lacking") & (F.size("rule_ids") > 0))).withColumn(
+        "rule_ids", F.when(F.col("lacking"), F.col("rule_ids"))
+    )
+    held = keyed.withWatermark("at", delay).groupBy("collection_id", "channel", "guid").transformWithStateInPandas(
+        statefulProcessor=_logon_processor(hold_ms, keep_ms),
+        outputStructType=StructType.fromDDL(HELD_DDL),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return own.unionByName(held)
+
+
+def _logon_processor(hold_ms: int, keep_ms: int):
+    """The stateful processor; nested so that it reaches the executors by value."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    columns = ["collection_id", "channel", "event_id", "rule_id", "logon_id"]
+
+    class LogonProcessor(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.first = handle.getValueState("first", "ord BIGINT, logon STRING")
+            self.last = handle.getValueState("last", "at BIGINT")
+            self.hits = handle.getListState("hits", "event_id STRING, rule_id STRING, due BIGINT")
+
+        def handleInputRows(self, key, rows, timerValues):
+            first = tuple(self.first.get()) if self.first.exists() else None
+            last = self.last.get()[0] if self.last.exists() else 0
+            hits = []
+            for pdf in rows:
+                for row in pdf.itertuples():
+                    at = int(row.at.timestamp() * 1000)
+                    last = max(last, at)
+                    if row.creates and (first is None or (int(row.ord), row.own_logon_id) < first):
+                        first = int(row.ord), row.own_logon_id
+                    if row.rule_ids is not None:
+                        hits += [(row.event_id, rule, at + hold_ms) for rule in row.rule_ids]
+            if first:
+                self.first.update(first)
+            self.last.update((last,))
+            if hits:
+                self.hits.appendList(hits)
+            for due in {h[2] for h in hits} | {last + keep_ms}:
+                self.handle.registerTimer(due)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            waiting = [tuple(h) for h in self.hits.get()] if self.hits.exists() else []
+            ready = [h for h in waiting if h[2] <= now]
+            if ready:
+                left = [h for h in waiting if h[2] > now]
+                self.hits.clear()
+                if left:
+                    self.hits.appendList(left)
+                logon = self.first.get()[1] if self.first.exists() else None
+                yield pd.DataFrame([(*key[:2], h[0], h[1], logon) for h in ready], columns=columns)
+            if self.last.exists() and self.last.get()[0] + keep_ms <= now:
+                self.first.clear()
+                self.last.clear()
+
+        def close(self):
+            pass
+
+    return LogonProcessor()
