@@ -569,10 +569,11 @@ WHERE contains('user' || (o_custkey % 300), 'user12') OR contains('rule ' || low
 def node_search(spark, sf):
     """Nodes by their fields, else by a trigger event that holds the text."""
     nodes = order_nodes(spark, sf)
-    events = ad.table(spark, sf, "orders").where(c("o_orderkey") % 11 == 0).select(
+    name = F.when(c("o_orderkey") % 11 == 0, lit("User")).otherwise(lit("Guest"))
+    events = ad.table(spark, sf, "orders").select(
         F.concat(lit("h"), c("o_custkey") % 20).alias("collection_id"),
         F.lpad(c("o_orderkey").cast("string"), 12, "0").alias("finding_id"),
-        F.struct(F.concat(lit("User"), c("o_custkey") % 40).alias("name")).alias("user"),
+        F.struct(F.concat(name, c("o_custkey") % 40).alias("name")).alias("user"),
     )
     # Trigger users run to 39, so of them only user12 holds the text.
     return reports.search_nodes(nodes, events, " USER12 ").select("id")
