@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from casegraph.llm.common import bounded_batches, free_name, row_keys, texts_of
 from casegraph.operators.components import connected_components
-from casegraph.session import cut_lineage
+from casegraph.session import cut_lineage, release
 
 WORDS = 5
 LEAST = 0.8
@@ -211,6 +211,7 @@ def _links(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     near = cut_lineage(
         stars.sortWithinPartitions("leader", "chunk", "mark").mapInArrow(_leader_links, "src long, dst long")
     )
+    release(docs.sparkSession)
     known = connected_components(near).select(F.col("node").alias("row"), "component")
     labelled = members.join(known, "row", "left").select("cell", "row", F.coalesce("component", "row").alias("mark"))
     parts = labelled.groupBy("cell", "mark").agg(F.count(F.lit(1)).alias("n"))
@@ -244,7 +245,10 @@ def alike_firsts(docs: DataFrame, firsts: DataFrame, text: str = "text") -> Data
     k1, k2 = row_keys(docs)
     items = cut_lineage(firsts.withColumn("row", F.monotonically_increasing_id()))
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-    groups = connected_components(cut_lineage(_links(keyed, items.select("k1", "k2", "row"))))
+    release(docs.sparkSession)
+    edges = cut_lineage(_links(keyed, items.select("k1", "k2", "row")))
+    release(docs.sparkSession)
+    groups = connected_components(edges)
     members = cut_lineage(items.join(groups.select(F.col("node").alias("row"), "component"), "row"))
     order = F.struct(F.col("id").isNull(), "id", "k1", "k2", "row").alias("w")
     first = members.groupBy("component").agg(F.min(order).alias("w")).select(F.col("w.row").alias("row"))
