@@ -27,7 +27,7 @@ from casegraph.plans.rules_row import (
     session_capability,
 )
 from casegraph.schemas import FINDING_DDL, TRIGGER_DDL
-from casegraph.session import cut_lineage
+from casegraph.session import stored
 
 log = logging.getLogger(__name__)
 
@@ -277,7 +277,7 @@ def row_findings(view: DataFrame, rules: list[RowRule], stage: bool = False) ->
         F.col("ord").alias("_event_ord"),
     )
     if stage:
-        findings = cut_lineage(findings)
+        findings = stored(findings)
     triggers = findings.select(
         "collection_id",
         "channel",
@@ -329,7 +329,7 @@ def _set_jobs(view: DataFrame, name: str, job: SetRule) -> Findings | None:
     def attempt(some: list[str]) -> Findings:
         chosen = rules_set.select_set_rules({name: job}, set(some))[name] if some != [name] else job
         found = chosen(view)
-        return Findings(cut_lineage(conform(found.findings)), cut_lineage(conform_triggers(found.triggers)))
+        return Findings(stored(conform(found.findings)), stored(conform_triggers(found.triggers)))
 
     found, faults = surviving(rules_set.rules_of(name, job), attempt, lambda: _probe(view))
     return _joined(found, tuple(faults))

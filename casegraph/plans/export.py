@@ -67,15 +67,13 @@ def as_lines(rows: DataFrame, kind: str) -> DataFrame:
 
 def graph_lines(graph: Graph, fused: Fused, collector_ips: DataFrame | None = None, size: int = SLICE) -> DataFrame:
     """All lines of the export; ``collector_ips`` has ``collection_id, collector_ip`` (an array)."""
-    caps = fused.capabilities.select(
-        "collection_id", c("finding_id").alias("id"), "role", F.struct("name", "bind", "values").alias("cap")
-    )
-    sides = caps.groupBy("collection_id", "id").agg(
+    caps = fused.capabilities.select(c("finding_id").alias("id"), "role", F.struct("name", "bind", "values").alias("cap"))
+    sides = caps.groupBy("id").agg(
         F.sort_array(F.collect_set(F.when(c("role") == "requires", c("cap")))).alias("requires"),
         F.sort_array(F.collect_set(F.when(c("role") == "provides", c("cap")))).alias("provides"),
     )
     triggers = graph.node_events.select("collection_id", c("finding_id").alias("node"), c("id").alias("event"))
-    nodes = graph.nodes.join(sides, ["collection_id", "id"], "left")
+    nodes = graph.nodes.join(sides, "id", "left")
     # Which events triggered a node is a line each: a mass deletion has any number of them.
     seen = graph.node_events.drop("finding_id").dropDuplicates(["collection_id", "id"])
     totals = graph.nodes.groupBy("collection_id").agg(F.count_distinct("actor").alias("actor_count"))

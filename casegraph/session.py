@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs survive executor loss and keep a short plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read back: a plan without a past, like that of a table."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
