@@ -60,11 +60,12 @@ def release(spark: SparkSession) -> None:
 
     Spark removes them once the driver's garbage collector finds that nobody refers to them, which may
     be long after a large job went on to its next stage.  The bridge to the JVM passes on about once a
-    second which frames Python has given up.
+    second which frames Python has given up, and what they held goes with the collection after that.
     """
     gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(1.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
