@@ -360,11 +360,14 @@ def _pieces_done(blocks: DataFrame) -> DataFrame:
 
     shared = cut_lineage(blobs.returned(blobs.answered(blocks.mapInArrow(sampled, blobs.ASKED), _recurring), "shared"))
     release(spark)  # the shuffles of the texts and the sample names
-    with_shared = blocks.join(shared, "block", "left")
-    asked = with_shared.mapInArrow(tied, blobs.ASKED)
-    yielding = cut_lineage(blobs.returned(blobs.answered(asked, _yielding), "yielding"))
+
+    def with_shared() -> DataFrame:
+        return blocks.join(shared, "block", "left")
+
+    # A frame kept in a name would keep the shuffles of all jobs that ran over it.
+    yielding = cut_lineage(blobs.returned(blobs.answered(with_shared().mapInArrow(tied, blobs.ASKED), _yielding), "yielding"))
     release(spark)  # that of the long ties
-    return with_shared.join(yielding, "block", "left").mapInArrow(finished, _DONE)
+    return with_shared().join(yielding, "block", "left").mapInArrow(finished, _DONE)
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
