@@ -33,9 +33,8 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def group(text: Column, pattern: str, index: int = 1, flags: str = "idU") -> Column:
-    """Capture group of the first match, null without one."""
-    full = java(pattern, flags)
-    return F.when(text.rlike(full), F.regexp_extract(text, full, index))
+    """Capture group of the first match, null without one; the text is evaluated once."""
+    return F.get(F.regexp_extract_all(text, F.lit(java(pattern, flags)), F.lit(index)), F.lit(0))
 
 
 # ------------------------------------------------------------------ text clean-up
@@ -48,7 +47,12 @@ def strip(text: Column) -> Column:
 
 
 def non_empty(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    """The text, null if it is empty.
+
+    ``nullif`` names its argument twice, and inside a branch Spark evaluates it twice, so nested calls
+    would double the work at each level.  An array of one element names it once.
+    """
+    return F.get(F.array_remove(F.array(text.cast("string")), F.lit("")), F.lit(0))
 
 
 def clean(text: Column) -> Column:
@@ -78,32 +82,25 @@ def task_name(text: Column) -> Column:
 
 def account_user(text: Column) -> Column:
     """User part of ``DOMAIN\\user``."""
-    raw = strip(text)
-    after = F.regexp_extract(raw, r"^[^\\]*\\([\s\S]*)$", 1)
-    return non_empty(strip(F.when(raw.contains("\\"), after).otherwise(raw)))
+    return non_empty(strip(F.regexp_replace(strip(text), r"^[^\\]*\\", "")))
 
 
 def account_domain(text: Column) -> Column:
     """Domain part of ``DOMAIN\\user``; null without a backslash."""
-    raw = strip(text)
-    return non_empty(strip(F.when(raw.contains("\\"), F.substring_index(raw, "\\", 1))))
+    return non_empty(strip(F.regexp_extract(strip(text), r"^([^\\]*)\\", 1)))
 
 
 # ------------------------------------------------------------------ numbers and times
 def hex_to_int(text: Column) -> Column:
     """Integer of a hexadecimal text of any length; null where its value exceeds 64 bits."""
-    raw = F.lower(strip(text))
-    digits = F.regexp_replace(raw, "^(0x)?0*(?=.)", "")
-    return F.when(
-        raw.rlike("^(0x)?[0-9a-f]+$") & (F.length(digits) <= 16), F.conv(digits, 16, 10).try_cast("bigint")
-    )
+    digits = F.regexp_extract(F.lower(strip(text)), "^(?:0x)?0*([0-9a-f]{1,16})$", 1)
+    return F.conv(non_empty(digits), 16, 10).try_cast("bigint")
 
 
 def logon_id(text: Column) -> Column:
     """Canonical ``0x…`` form of a hexadecimal logon id."""
     raw = F.lower(F.trim(strip(text), F.lit("'\"")))
-    digits = F.regexp_replace(F.regexp_replace(raw, "^0x", ""), "^0+(?=.)", "")
-    return F.when(raw.rlike("^(0x)?[0-9a-f]+$"), F.concat(F.lit("0x"), digits))
+    return F.concat(F.lit("0x"), non_empty(F.regexp_extract(raw, "^(?:0x)?0*([0-9a-f]+)$", 1)))
 
 
 def pid(text: Column) -> Column:
@@ -186,12 +183,8 @@ def key_values(message: Column, delimiter: str = ";") -> Column:
 # ------------------------------------------------------------------ command lines
 def command_line(text: Column) -> Column:
     """Lower-case command line without a ``cmd /s /c "…"`` or ``cmd /c "…"`` wrapper."""
-    raw = non_empty(F.lower(strip(text)))
-    inner = F.coalesce(
-        group(raw, r'^cmd(?:\.exe)?\s+/s\s+/c\s+"(.+)"$'),
-        group(raw, r'^cmd(?:\.exe)?\s+/c\s+"(.+)"$'),
-    )
-    return F.coalesce(inner, raw)
+    wrapped = java(r'^cmd(?:\.exe)?\s+(?:/s\s+)?/c\s+"(.+)"$')
+    return non_empty(F.regexp_replace(F.lower(strip(text)), wrapped, "$1"))
 
 
 def words(text: Column) -> Column:
@@ -363,6 +356,11 @@ def session_id(text: Column) -> Column:
 # ------------------------------------------------------------------ Windows identifiers
 def sid_from_bytes(numbers: Column) -> Column:
     """``S-r-a-…`` text of a raw security id given as an array of byte values."""
+    # The members are read many times: inside a function over one element they have a name.
+    return F.get(F.transform(F.array(numbers), _sid_text), F.lit(0))
+
+
+def _sid_text(numbers: Column) -> Column:
     authority = F.aggregate(
         F.slice(numbers, 3, 6), F.lit(0).cast("bigint"), lambda acc, b: acc * 256 + b
     )
@@ -386,11 +384,15 @@ def sid_from_bytes(numbers: Column) -> Column:
     )
 
 
-def xml_text(xml: Column, *path: str) -> Column:
-    """Text of a nested element, found by local names so that namespaces do not matter."""
-    steps = "//" + "/".join(f"*[local-name()=\"{p}\"]" for p in path)
+def xml_texts(xml: Column, *paths: tuple[str, ...]) -> Column:
+    """Texts of nested elements in the order of their paths, found by local names so that namespaces do not matter.
+
+    The document is parsed once for all of them: XPath joins the texts with a character that no XML can hold.
+    """
+    steps = ["//" + "/".join(f"*[local-name()=\"{p}\"]" for p in path) for path in paths]
     safe = F.when(strip(xml).startswith("<"), xml)
-    return non_empty(F.xpath_string(safe, F.lit(steps)))
+    joined = ', "\0", '.join(f"string({s})" for s in steps)
+    return F.split(F.xpath_string(safe, F.lit(f"concat({joined})")), "\\x00")
 
 
 def dns_answers(text: Column) -> Column:

@@ -271,13 +271,7 @@ def security_parsers() -> dict[int, Parser]:
             "logon.type": x.clean(d("LogonType")),
         }
 
-    command = x.command_line(d("CommandLine"))
-    args = x.quoted_args(command)
-
-    def task(xml: Column) -> tuple[Column, Column, Column]:
-        command_text = x.xml_text(xml, "Exec", "Command")
-        arguments = x.words(x.xml_text(xml, "Exec", "Arguments"))
-        return command_text, x.clean_args(arguments), x.xml_text(xml, "ComHandler", "ClassId")
+    command, args = c("_command"), c("_args")
 
     def task_event(action: str, severity: int | None) -> Parser:
         return {
@@ -288,13 +282,9 @@ def security_parsers() -> dict[int, Parser]:
             "process.parent.pid": x.pid(d("ParentProcessId")),
         }
 
-    new_command, new_args, new_class = task(d("TaskContent"))
-    changed_command, changed_args, changed_class = task(d("TaskContentNew"))
+    task_command, task_args, task_class = c("_task_command"), c("_task_args"), c("_task_class")
     task_text = x.clean(d("TaskName"))
-    full = F.when(
-        new_args.isNotNull(),
-        F.concat_ws(" ", F.coalesce(new_command, lit("None")), F.array_join(new_args, " ")),
-    ).otherwise(new_command)
+    full = c("_task_line")
     return {
         4624: logon("account_logged_on"),
         # Failed logons have the shape of successful ones.
@@ -310,20 +300,20 @@ def security_parsers() -> dict[int, Parser]:
         },
         4698: {
             **task_event("scheduled_task_created", None),
-            "process.executable": x.basename(new_command),
-            "process.args": new_args,
+            "process.executable": x.basename(task_command),
+            "process.args": task_args,
             "process.command_line": x.command_line(full),
             "winlog.extra": x.string_map(
                 task_name=x.task_name(task_text),
-                uses_com_handler=new_class.isNotNull(),
-                com_class=x.clean(new_class),
+                uses_com_handler=task_class.isNotNull(),
+                com_class=x.clean(task_class),
                 command=x.clean(full),
             ),
         },
         4702: {
             **task_event("scheduled_task_updated", 1),
-            "process.executable": x.basename(F.coalesce(changed_command, changed_class)),
-            "process.args": changed_args,
+            "process.executable": x.basename(F.coalesce(task_command, task_class)),
+            "process.args": task_args,
             "process.command_line": x.command_line(task_text),
         },
         4720: {
@@ -342,6 +332,34 @@ def security_parsers() -> dict[int, Parser]:
     }
 
 
+def security_parts() -> list[dict[str, Column]]:
+    """Command lines and task definitions, each taken apart once."""
+    code = c("event_id")
+
+    def task(xml: Column) -> Column:
+        return x.xml_texts(xml, ("Exec", "Command"), ("Exec", "Arguments"), ("ComHandler", "ClassId"))
+
+    texts = c("_task")
+    return [
+        {
+            "_command": F.when(code == 4688, x.command_line(d("CommandLine"))),
+            "_task": F.when(code == 4698, task(d("TaskContent"))).when(code == 4702, task(d("TaskContentNew"))),
+        },
+        {
+            "_args": x.quoted_args(c("_command")),
+            "_task_command": x.non_empty(F.get(texts, lit(0))),
+            "_task_args": x.clean_args(x.words(F.get(texts, lit(1)))),
+            "_task_class": x.non_empty(F.get(texts, lit(2))),
+        },
+        {
+            "_task_line": F.when(
+                c("_task_args").isNotNull(),
+                F.concat_ws(" ", F.coalesce("_task_command", lit("None")), F.array_join("_task_args", " ")),
+            ).otherwise(c("_task_command")),
+        },
+    ]
+
+
 # ------------------------------------------------------------------ System
 def system_parsers() -> dict[int, Parser]:
     def event(action: str, category: str, severity: Column | int | None, provider: str) -> Parser:
@@ -467,7 +485,7 @@ def powershell_parsers() -> dict[int, Parser]:
 # ------------------------------------------------------------------ WMI
 def wmi_parsers() -> dict[int, Parser]:
     message = F.coalesce(c("message"), lit(""))
-    kv = x.key_values(message)
+    kv = c("_values")
 
     def event(action: str, category: str, provider: Column) -> Parser:
         return {
@@ -484,8 +502,6 @@ def wmi_parsers() -> dict[int, Parser]:
         }
 
     sentence = F.substring_index(message, ".", 1)
-    rest = F.regexp_extract(message, r"(?s)^[^.]*\.(.*)$", 1)
-    start_kv = x.key_values(rest)
     started = r"(?d)^(.+?) provider started with result code (0x[0-9a-fA-F]+)"
     machine = x.clean(kv["ClientMachine"])
     query_machine = x.clean(x.group(message, r"ClientMachine\s*=\s*([^;]+)", flags=""))
@@ -499,9 +515,9 @@ def wmi_parsers() -> dict[int, Parser]:
                 "configuration",
                 x.clean(x.group(sentence, started, flags="")),
             ),
-            "process.name": x.process_name(start_kv["HostProcess"]),
-            "process.pid": x.pid(start_kv["ProcessID"]),
-            "process.executable": x.clean(start_kv["ProviderPath"]),
+            "process.name": x.process_name(kv["HostProcess"]),
+            "process.pid": x.pid(kv["ProcessID"]),
+            "process.executable": x.clean(kv["ProviderPath"]),
             "winlog.extra": x.string_map(result_code=x.clean(x.group(sentence, started, 2, flags=""))),
         },
         5858: {
@@ -531,13 +547,20 @@ def wmi_parsers() -> dict[int, Parser]:
         },
         5861: {
             **event("wmi_event_subscription_created", "persistence", lit("WMI Event Log Binding")),
-            "user.id": F.when(sid_list.isNotNull(), x.sid_from_bytes(sid_bytes)),
+            "user.id": x.sid_from_bytes(sid_bytes),
             "process.name": x.process_name(x.clean(x.group(consumer, r"^([^=]+)", flags=""))),
             "process.entity_id": x.clean(x.group(consumer, r'="?([^"]+)"?', flags="")),
         },
     }
 
 
+def wmi_parts() -> list[dict[str, Column]]:
+    """The values of a message, read once; a provider start has them after its first sentence."""
+    message = F.coalesce(c("message"), lit(""))
+    rest = F.regexp_extract(message, r"(?s)^[^.]*\.(.*)$", 1)
+    return [{"_values": x.key_values(F.when(c("event_id") == 5857, rest).otherwise(message))}]
+
+
 # ------------------------------------------------------------------ Application
 def application_parsers() -> dict[int, Parser]:
     def event(action: str, category: str, provider: str, **extra: Column) -> Parser:
@@ -587,6 +610,9 @@ PARSERS = {
     "application": application_parsers,
 }
 
+#: Columns that several members of an event are made of, in steps; each step reads those before it.
+PARTS = {"security": security_parts, "wmi": wmi_parts}
+
 _OPTIONAL = ("computer", "hostname", "host")
 
 
@@ -606,6 +632,8 @@ def normalize_log(raw: DataFrame, channel: str) -> DataFrame:
             *[x.clean(c(name)) for name in _OPTIONAL], x.clean(d("Computer")), x.clean(d("Hostname"))
         )
         variants.append((host.isNotNull(), {"host.name": host}))
+    for step in PARTS.get(channel, list)():
+        raw = raw.withColumns(step)
     original = F.to_json(F.struct("time_created", "event_id", "message", "event_data"))
     return build_events(raw, channel, variants, original)
 
