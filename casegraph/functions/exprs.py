@@ -60,16 +60,18 @@ def clean(text: Column) -> Column:
     return non_empty(F.lower(strip(text)))
 
 
+def _last_part(path: Column) -> Column:
+    return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
+
+
 def basename(text: Column) -> Column:
     """Last path segment in lower case, for either slash; empty becomes null."""
-    return non_empty(F.regexp_extract(F.lower(strip(text)), r"([^\\/]*)$", 1))
+    return non_empty(_last_part(F.lower(strip(text))))
 
 
 def process_name(text: Column) -> Column:
     """Like :func:`basename` after removing surrounding quotes."""
-    return non_empty(
-        F.regexp_extract(F.lower(F.trim(strip(text), F.lit("'\""))), r"([^\\/]*)$", 1)
-    )
+    return non_empty(_last_part(F.lower(F.trim(strip(text), F.lit("'\"")))))
 
 
 def domain_name(text: Column) -> Column:

@@ -144,7 +144,7 @@ def with_logon(rows: DataFrame, view: DataFrame) -> DataFrame:
     # Rows without a process, or with an id of their own, need no lookup.  As most rows of most
     # channels are such, they get keys that no process has, spread over all tasks.
     lacking = F.col("guid").isNotNull() & F.col("own_logon_id").isNull()
-    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string"))
+    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64("ord"), F.lit(4096)).cast("string"))
     keyed = rows.withColumn("_guid", F.when(lacking, F.col("guid")).otherwise(none))
     lookup = logon_lookup(view).withColumnRenamed("guid", "_guid")
     return (
@@ -173,6 +173,20 @@ def _keys(keys: tuple[tuple[Column, ...], ...]) -> Column:
     return _guarded(guarded, KEY_LIST)
 
 
+PAYLOAD = (
+    "description",
+    "extra",
+    "entities",
+    "requires",
+    "provides",
+    "fusion_key",
+    "own_severity",
+    "own_confidence",
+    "own_technique_id",
+    "own_technique_name",
+)
+
+
 def _payload(rule: RowRule) -> list[Column]:
     def text_map(entries: dict[str, Column]) -> Column:
         return x.string_map(**entries) if entries else F.create_map().cast("map<string,string>")
@@ -194,6 +208,17 @@ def _payload(rule: RowRule) -> list[Column]:
     ]
 
 
+def _chosen(rules: list[RowRule]) -> dict[str, Column]:
+    """The payload of each hit's rule, a column for each member: what no caller reads is not computed."""
+    chosen: dict[str, Column] = {}
+    for at, rule in enumerate(rules):
+        test = F.col("rule_at") == at
+        members = dict(zip(PAYLOAD, _payload(rule), strict=True), rule_id=F.lit(rule.rule_id))
+        for name, value in members.items():
+            chosen[name] = chosen[name].when(test, value) if name in chosen else F.when(test, value)
+    return {name: x.once(value) for name, value in chosen.items()}
+
+
 def row_hits(view: DataFrame, rules: list[RowRule]) -> DataFrame:
     """Rows with at least one matching rule, one output row per match (column ``rule_at``)."""
     matched = F.array_compact(
@@ -215,13 +240,7 @@ def row_findings(view: DataFrame, rules: list[RowRule], stage: bool = False) ->
     usable = usable_rules(view, rules)
     left_out = tuple({r.rule_id for r in rules} - {r.rule_id for r, _ in usable})
     hits = with_logon(row_hits(view, [rule for rule, _ in usable]), view)
-    payload = None
-    for at, (_, body) in enumerate(usable):
-        test = F.col("rule_at") == at
-        payload = F.when(test, body) if payload is None else payload.when(test, body)
-    rows = hits.withColumn("_p", x.once(payload)).select(
-        *[c for c in hits.columns], "_p.*"
-    )
+    rows = hits.withColumns(_chosen([rule for rule, _ in usable]))
     rows = rows.join(F.broadcast(rule_catalog(view.sparkSession)), "rule_id")
 
     logged_on = F.col("logon_id").isNotNull()

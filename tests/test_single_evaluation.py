@@ -66,3 +66,9 @@ def test_clean_up_of_odd_texts(spark):
         rows = spark.createDataFrame(list(enumerate(given)), "at int, t string")
         got = [r.v for r in rows.select("at", function(F.col("t")).alias("v")).orderBy("at").collect()]
         assert got == wanted, function.__name__
+
+
+def test_unread_payload_of_rules_is_not_computed(spark, sf_dir):
+    """A listing of rule, severity and confidence makes no descriptions, and rows are spread without hashing records."""
+    plan = optimised(spark, sf_dir, "file_row_rules")
+    assert "format_string(" not in plan and "to_json" not in plan
