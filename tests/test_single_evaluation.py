@@ -72,3 +72,17 @@ def test_unread_payload_of_rules_is_not_computed(spark, sf_dir):
     """A listing of rule, severity and confidence makes no descriptions, and rows are spread without hashing records."""
     plan = optimised(spark, sf_dir, "file_row_rules")
     assert "format_string(" not in plan and "to_json" not in plan
+
+
+def test_clusters_are_kept_as_tables(spark, sf_dir):
+    """Rounds of the fusion leave no uncompressed checkpoints."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from casegraph.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(folder.glob("rdd-*"))
+    assert queries()["fused_components"](spark, sf_dir).count() > 0
+    assert set(folder.glob("rdd-*")) == before
