@@ -379,7 +379,7 @@ def wmi_other_raw(spark: SparkSession, sf: str) -> DataFrame:
     )
     notified = F.concat(lit("Namespace = //./root; Provider = Prov"), key % 4, lit(", queryID = 1; HostProcessID = "), key, lit("; OwnerName = S-1-5-18"))
     asked = F.concat(lit("Namespace = root; UserName = NT\\Sys; ClientProcessID = "), key, lit(", ClientMachine = HOST"), key % 3, lit("; PossibleCause = Temporary"))
-    return ad.table(spark, sf, "customer").select(
+    return ad.spread(ad.table(spark, sf, "customer"), "c_custkey").select(
         lit("host").alias("collection_id"),
         key.alias("ord"),
         lit("2024-01-01T00:00:00Z").alias("time_created"),

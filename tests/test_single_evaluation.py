@@ -27,6 +27,13 @@ def test_wmi_message_is_read_once(spark, sf_dir):
     assert optimised(spark, sf_dir, "wmi_row_rules").count("map_concat(") == 0
 
 
+def test_wmi_records_are_dealt_to_all_tasks(spark, sf_dir):
+    """A small table is one row group; its messages are taken apart by more tasks than the one that reads it."""
+    for name in ("normalized_wmi", "normalized_wmi_other", "wmi_row_rules"):
+        rows = queries()[name](spark, sf_dir).withColumn("task", F.spark_partition_id())
+        assert rows.select("task").distinct().count() > 1, name
+
+
 def test_texts_of_a_task(spark):
     xml = [
         "<T xmlns='u'><Exec><Command> a </Command><Arguments>-x</Arguments></Exec><Exec><Command>b</Command></Exec></T>",
