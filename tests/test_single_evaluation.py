@@ -34,6 +34,11 @@ def test_wmi_records_are_dealt_to_all_tasks(spark, sf_dir):
         assert rows.select("task").distinct().count() > 1, name
 
 
+def test_rejected_rows_are_parsed_once(spark, sf_dir):
+    """One parse of an element for each of the eleven channels, also where its faults decide whether it stays."""
+    assert optimised(spark, sf_dir, "rejected_by_reason").count("from_json(") == 11
+
+
 def test_texts_of_a_task(spark):
     xml = [
         "<T xmlns='u'><Exec><Command> a </Command><Arguments>-x</Arguments></Exec><Exec><Command>b</Command></Exec></T>",
