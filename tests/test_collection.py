@@ -15,7 +15,7 @@ from casegraph.plans.normalize_windows import unparsed
 from casegraph.session import cut_lineage
 from casegraph.sources import collection as src
 from casegraph.sources import tables
-from casegraph.sources.integrity import verify_integrity
+from casegraph.sources.integrity import file_hashes, verify_integrity
 from casegraph.sources.weblogs import read_access_log, read_error_log
 
 STAMP = "Mon Jan 01 10:00:0{s}.000000 2024"
@@ -213,6 +213,47 @@ def test_log_text_and_integrity(spark, tmp_path):
     assert got == {"access.log": True, "error.log": False}
 
 
+def test_large_files_are_hashed_by_segments(spark, tmp_path):
+    import gzip
+    import random
+
+    made = random.Random(3)
+    files = {
+        "noise.bin": made.randbytes(40_000),
+        "blanks.bin": bytes(made.choice(b" \x00\xff\n\r}") for _ in range(20_000)),
+        "ends with a blank.log": b"some words " * 1_500,
+        "ends in lines.log": b" " + b"a line of a log\r\n" * 700,
+        "marked.txt": b"\xef\xbb\xbf" + "Gr\u00fc\u00dfe an alle ".encode() * 700,
+        "marked-2.txt": b"\xef\xbb\xbf" + b"no blank at the end" * 700,
+        "only blanks": b" " * 9_000,
+        "no blank": b"x" * 9_000,
+        "zeros{1}.bin": bytes(30_000),
+        "edge.bin": made.randbytes(4_096),
+        "small.bin": made.randbytes(4_095) + b" ",
+        "one.bin": b" ",
+        "empty.bin": b"",
+        "packed.log.GZ": gzip.compress(made.randbytes(9_000)),
+        "packed.log.gz": gzip.compress(made.randbytes(9_000)),
+    }
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    # Spark's readers leave out empty files.
+    expected = sorted((name, hashlib.sha256(data).hexdigest(), len(data)) for name, data in files.items() if data)
+    split, limit = "spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength"
+    before = {name: spark.conf.get(name) for name in (split, limit)}
+    try:
+        # No value may be larger, the packed files apart.
+        spark.conf.set(limit, str(max(len(files["packed.log.gz"]), len(files["packed.log.GZ"]))))
+        for size, segment in [(701, 4_096), (5_000, 4_096), (1_000_000, 9_000), (997, 2_000)]:
+            spark.conf.set(split, str(size))
+            got = sorted(map(tuple, file_hashes(spark, str(tmp_path / "in"), segment).collect()))
+            assert got == expected, (size, segment)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_streamed_row_rules_equal_batch(spark, events, tmp_path):
     from casegraph.streaming.streams import stream_row_findings
 
