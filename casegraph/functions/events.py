@@ -17,6 +17,9 @@ def event_schema() -> StructType:
     return StructType.fromDDL(EVENT_DDL)
 
 
+#: Structs whose presence the rules test.
+TESTED = ["user", "process", "network", "destination", "registry", "http", "url", "file", "group"]
+
 # A parser maps dotted member paths to columns, e.g. {"event.action": lit("x"), ...}.
 Parser = dict[str, Column]
 
@@ -28,9 +31,16 @@ def _leaf(variants: list[tuple[Column | None, Parser]], path: str) -> Column | N
         return None
     if len(used) == 1 and used[0][0] is None:
         return used[0][1]
+    merged: list[tuple[list[Column], Column]] = []
+    for cond, value in used:
+        # Neighbours that set the same column share a branch: less code, which stays small enough to be compiled.
+        if merged and merged[-1][1] is value:
+            merged[-1][0].append(cond)
+        else:
+            merged.append(([cond], value))
     return reduce(
-        lambda acc, item: acc.when(item[0], item[1]) if acc is not None else F.when(*item),
-        used,
+        lambda acc, item: acc.when(*item) if acc is not None else F.when(*item),
+        [(x.any_of(conds), value) for conds, value in merged],
         None,
     )
 
@@ -76,6 +86,27 @@ def event_columns(variants: list[tuple[Column | None, Parser]]) -> list[Column]:
     ]
 
 
+def _single_members(variants: list[tuple[Column | None, Parser]]) -> list[Column]:
+    """Each member as a column named by its path, and whether the structs are there whose presence rules test."""
+
+    def members(struct: StructType, prefix: str) -> list[Column]:
+        found = []
+        for field in struct.fields:
+            path = f"{prefix}{field.name}"
+            if isinstance(field.dataType, StructType):
+                found += members(field.dataType, f"{path}.")
+            else:
+                value = _leaf(variants, path)
+                value = F.lit(None) if value is None else value
+                found.append(value.cast(field.dataType).alias(path))
+        return found
+
+    structs = StructType([f for f in event_schema().fields if f.name == "timestamp" or f.name in EVENT_STRUCTS])
+    return members(structs, "") + [
+        _presence(variants, event_schema()[name].dataType, name).isNotNull().alias(f"has_{name}") for name in TESTED
+    ]
+
+
 def build_events(
     raw: DataFrame,
     channel: str,
@@ -84,14 +115,18 @@ def build_events(
 ) -> DataFrame:
     """One projection from raw rows (``collection_id``, ``ord``, …) to the event schema."""
     event_id = x.stable_id(F.col("collection_id"), F.lit(channel), F.col("ord"), original)
-    return raw.select(
+    keys = [
         F.col("collection_id"),
         F.lit(channel).alias("channel"),
         F.col("ord").cast("bigint").alias("ord"),
         event_id.alias("id"),
-        *event_columns(variants),
-        F.lit(False).alias("is_probe"),
-    )
+    ]
+    is_probe = F.lit(False).alias("is_probe")
+    events = raw.select(*keys, *event_columns(variants), is_probe)
+    # Spark computes all members of a struct within a condition for one that is read, so the flat view of
+    # these rows reads them one by one.
+    events.single_members = lambda: raw.select(*keys, *_single_members(variants), is_probe)
+    return events
 
 
 def event_time() -> Column:
@@ -106,68 +141,77 @@ def rule_view(events: DataFrame) -> DataFrame:
     """
     c = F.col
     empty = F.lit("")
-    return events.select(
+    # Events as they were built; any step in between, such as storing them, makes another frame.
+    single = getattr(events, "single_members", None)
+
+    def m(path: str) -> Column:
+        return c(path) if single is None else c(f"`{path}`")
+
+    def has(name: str) -> Column:
+        return (c(name).isNotNull() if single is None else c(f"has_{name}")).alias(f"has_{name}")
+
+    return (events if single is None else single()).select(
         c("collection_id"),
         c("channel"),
         c("ord"),
         c("id"),
-        event_time().alias("event_time"),
-        c("event.created").alias("created"),
-        F.coalesce(c("event.action"), empty).alias("action"),
-        c("event.dataset").alias("dataset"),
-        F.coalesce(c("event.code"), empty).alias("code"),
-        F.coalesce(c("event.original").cast("string"), empty).alias("original"),
-        c("user").isNotNull().alias("has_user"),
-        F.coalesce(F.lower(c("user.name")), empty).alias("user_name"),
-        c("user.name").alias("raw_user_name"),
-        c("user.domain").alias("user_domain"),
-        c("user.id").alias("user_id"),
-        c("process").isNotNull().alias("has_process"),
-        F.coalesce(c("process.name"), empty).alias("process"),
-        F.coalesce(c("process.executable"), empty).alias("executable"),
-        c("process.args").alias("args"),
-        x.non_empty(c("process.command_line")).alias("command"),
-        c("process.pid").alias("pid"),
-        x.non_empty(c("process.entity_id")).alias("guid"),
-        F.coalesce(F.lower(c("process.parent.name")), empty).alias("parent"),
-        c("process.parent.pid").alias("parent_pid"),
-        x.non_empty(c("process.parent.entity_id")).alias("parent_guid"),
-        c("process.parent.command_line").alias("parent_command"),
-        c("network").isNotNull().alias("has_network"),
-        c("source.ip").alias("src_ip"),
-        F.nullif(c("source.port"), F.lit(0)).alias("src_port"),
-        c("destination").isNotNull().alias("has_destination"),
-        x.non_empty(c("destination.ip")).alias("dst_ip"),
-        F.nullif(c("destination.port"), F.lit(0)).alias("dst_port"),
-        c("host.ip").alias("host_ip"),
-        c("host.mac").alias("host_mac"),
-        F.coalesce(x.non_empty(c("host.name")), x.non_empty(c("winlog.computer_name"))).alias(
+        F.coalesce(c("timestamp"), m("event.created")).alias("event_time"),
+        m("event.created").alias("created"),
+        F.coalesce(m("event.action"), empty).alias("action"),
+        m("event.dataset").alias("dataset"),
+        F.coalesce(m("event.code"), empty).alias("code"),
+        F.coalesce(m("event.original").cast("string"), empty).alias("original"),
+        has("user"),
+        F.coalesce(F.lower(m("user.name")), empty).alias("user_name"),
+        m("user.name").alias("raw_user_name"),
+        m("user.domain").alias("user_domain"),
+        m("user.id").alias("user_id"),
+        has("process"),
+        F.coalesce(m("process.name"), empty).alias("process"),
+        F.coalesce(m("process.executable"), empty).alias("executable"),
+        m("process.args").alias("args"),
+        x.non_empty(m("process.command_line")).alias("command"),
+        m("process.pid").alias("pid"),
+        x.non_empty(m("process.entity_id")).alias("guid"),
+        F.coalesce(F.lower(m("process.parent.name")), empty).alias("parent"),
+        m("process.parent.pid").alias("parent_pid"),
+        x.non_empty(m("process.parent.entity_id")).alias("parent_guid"),
+        m("process.parent.command_line").alias("parent_command"),
+        has("network"),
+        m("source.ip").alias("src_ip"),
+        F.nullif(m("source.port"), F.lit(0)).alias("src_port"),
+        has("destination"),
+        x.non_empty(m("destination.ip")).alias("dst_ip"),
+        F.nullif(m("destination.port"), F.lit(0)).alias("dst_port"),
+        m("host.ip").alias("host_ip"),
+        m("host.mac").alias("host_mac"),
+        F.coalesce(x.non_empty(m("host.name")), x.non_empty(m("winlog.computer_name"))).alias(
             "host"
         ),
-        F.coalesce(c("host.hostname"), empty).alias("hostname"),
-        c("registry").isNotNull().alias("has_registry"),
-        c("registry.path").alias("registry_path"),
-        c("registry.value").alias("registry_value"),
-        c("registry.data").alias("registry_data"),
-        c("winlog.event_id").alias("event_code"),
-        c("winlog.extra").alias("winlog_extra"),
-        x.non_empty(c("logon.id")).alias("own_logon_id"),
-        c("logon.type").alias("logon_type"),
-        c("http").isNotNull().alias("has_http"),
-        F.lower(c("http.request_method")).alias("method"),
-        c("http.response_status_code").alias("status"),
-        F.coalesce(F.lower(c("http.user_agent")), empty).alias("user_agent"),
-        x.non_empty(c("http.request_body")).alias("body"),
-        c("url").isNotNull().alias("has_url"),
-        x.effective_url(c("url.original"), c("url.path")).alias("url"),
-        F.coalesce(c("url.path"), empty).alias("url_path"),
-        c("file").isNotNull().alias("has_file"),
-        x.non_empty(c("file.path")).alias("file_path"),
-        c("group").isNotNull().alias("has_group"),
-        F.coalesce(F.lower(c("group.name")), empty).alias("group_name"),
-        x.non_empty(c("group.member_id")).alias("member_sid"),
-        x.non_empty(c("powershell.script_block_id")).alias("block_id"),
-        F.coalesce(c("powershell.script_block_text"), empty).alias("script"),
-        c("powershell.runspace_id").alias("runspace_id"),
+        F.coalesce(m("host.hostname"), empty).alias("hostname"),
+        has("registry"),
+        m("registry.path").alias("registry_path"),
+        m("registry.value").alias("registry_value"),
+        m("registry.data").alias("registry_data"),
+        m("winlog.event_id").alias("event_code"),
+        m("winlog.extra").alias("winlog_extra"),
+        x.non_empty(m("logon.id")).alias("own_logon_id"),
+        m("logon.type").alias("logon_type"),
+        has("http"),
+        F.lower(m("http.request_method")).alias("method"),
+        m("http.response_status_code").alias("status"),
+        F.coalesce(F.lower(m("http.user_agent")), empty).alias("user_agent"),
+        x.non_empty(m("http.request_body")).alias("body"),
+        has("url"),
+        x.effective_url(m("url.original"), m("url.path")).alias("url"),
+        F.coalesce(m("url.path"), empty).alias("url_path"),
+        has("file"),
+        x.non_empty(m("file.path")).alias("file_path"),
+        has("group"),
+        F.coalesce(F.lower(m("group.name")), empty).alias("group_name"),
+        x.non_empty(m("group.member_id")).alias("member_sid"),
+        x.non_empty(m("powershell.script_block_id")).alias("block_id"),
+        F.coalesce(m("powershell.script_block_text"), empty).alias("script"),
+        m("powershell.runspace_id").alias("runspace_id"),
         F.coalesce(c("is_probe"), F.lit(False)).alias("is_probe"),
     )

@@ -94,18 +94,19 @@ def _named_account(prefix: str, sid: str | None = None) -> Parser:
 # ------------------------------------------------------------------ Sysmon
 def sysmon_parsers() -> dict[int, Parser]:
     def event(action: str, category: str, severity: Column | int | None, timed: bool = False) -> Parser:
-        return _event(
-            action,
-            category,
-            "windows_sysmon",
-            "sysmon",
-            provider=lit("Microsoft-Windows-Sysmon"),
-            severity=severity,
-            timed=timed,
-        )
+        own = _event(action, category, "windows_sysmon", "sysmon", severity=severity, timed=timed)
+        return {**own, **{path: column for path, column in common.items() if path in own}, "event.provider": provider}
 
     def winlog(**extra: Column) -> Parser:
-        return _winlog("Microsoft-Windows-Sysmon/Operational", "Microsoft-Windows-Sysmon", **extra)
+        return {**named, **({"winlog.extra": x.string_map(**extra)} if extra else {})}
+
+    # Members that parsers set alike are one column each, so that their branches become one.
+    common = _event("", "", "windows_sysmon", "sysmon", timed=True)
+    for path in ("event.action", "event.category"):
+        del common[path]
+    provider = lit("Microsoft-Windows-Sysmon")
+    named = _winlog("Microsoft-Windows-Sysmon/Operational", "Microsoft-Windows-Sysmon")
+    user, source_user = _account(d("User")), _account(d("SourceUser"))
 
     pid, image, guid = x.pid(d("ProcessId")), d("Image"), d("ProcessGuid")
     process = _image("process", pid, image, guid)
@@ -126,7 +127,7 @@ def sysmon_parsers() -> dict[int, Parser]:
     def registry(action: str) -> Parser:
         return {
             **event(action, "registry", None),
-            **_account(d("User")),
+            **user,
             **process,
             "registry.path": x.clean(d("TargetObject")),
             "registry.value": x.clean(d("Details")),
@@ -136,7 +137,7 @@ def sysmon_parsers() -> dict[int, Parser]:
     def pipe_event(action: str) -> Parser:
         return {
             **event(action, "ipc", F.when(odd_pipe, 5).otherwise(2)),
-            **_account(d("User")),
+            **user,
             **process,
             **winlog(),
         }
@@ -144,7 +145,7 @@ def sysmon_parsers() -> dict[int, Parser]:
     return {
         1: {
             **event("process_created", "process", 2),
-            **_account(d("User")),
+            **user,
             **process,
             "process.command_line": x.command_line(d("CommandLine")),
             "process.args": x.clean_args(args),
@@ -157,7 +158,7 @@ def sysmon_parsers() -> dict[int, Parser]:
         },
         3: {
             **event("network_connection", "network", 2, timed=True),
-            **_account(d("User")),
+            **user,
             **process,
             "network.transport": x.clean(d("Protocol")),
             "network.direction": F.when(F.lower(d("Initiated")) == "true", lit("egress")).otherwise(
@@ -173,7 +174,7 @@ def sysmon_parsers() -> dict[int, Parser]:
         5: {**event("process_terminated", "process", 1), **process, **winlog()},
         7: {
             **event("image_loaded", "library", 2),
-            **_account(d("User"), domain=False),
+            "user.name": user["user.name"],
             **process,
             "file.path": x.clean(d("ImageLoaded")),
             "file.name": x.basename(d("ImageLoaded")),
@@ -181,7 +182,7 @@ def sysmon_parsers() -> dict[int, Parser]:
         },
         8: {
             **event("create_remote_thread", "process", 4),
-            **_account(d("SourceUser"), domain=False),
+            "user.name": source_user["user.name"],
             **source,
             **target,
             **winlog(),
@@ -192,7 +193,7 @@ def sysmon_parsers() -> dict[int, Parser]:
                 "process",
                 F.when(F.lower(d("TargetImage")).contains("lsass"), 5).otherwise(3),
             ),
-            **_account(d("SourceUser")),
+            **source_user,
             **source,
             **target,
             **winlog(
@@ -204,7 +205,7 @@ def sysmon_parsers() -> dict[int, Parser]:
         },
         11: {
             **event("file_created", "file", 2),
-            **_account(d("User")),
+            **user,
             **process,
             **parent,
             **target_file,
@@ -217,7 +218,7 @@ def sysmon_parsers() -> dict[int, Parser]:
         18: pipe_event("pipe_connected"),
         22: {
             **event("dns_query", "network", 1),
-            **_account(d("User")),
+            **user,
             **process,
             "dns.question.name": x.clean(d("QueryName")),
             "dns.question.type": lit("A"),
@@ -227,7 +228,7 @@ def sysmon_parsers() -> dict[int, Parser]:
         },
         26: {
             **event("file_deleted", "file", 2),
-            **_account(d("User")),
+            **user,
             **process,
             **target_file,
             "logon.id": x.logon_id(d("LogonId")),

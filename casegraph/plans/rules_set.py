@@ -41,9 +41,8 @@ def facts(ip: Column) -> Column:
 class GroupRule:
     """Events that pass ``when`` are grouped by ``key``; the group fires if ``fires`` holds.
 
-    ``fires`` and the result columns read the group's columns: ``key`` (array), ``n``,
-    ``span`` (seconds from first to last), ``first`` (facts of the first hit) and
-    ``first_logon``.
+    ``fires`` and the result columns read the group's columns: ``key`` (array), ``n`` and
+    ``span`` (seconds from first to last); the result columns also ``first``, the first hit.
     """
 
     rule_id: str
@@ -159,20 +158,23 @@ def group_rules() -> list[GroupRule]:
 
 def group_hits(view: DataFrame, rules: list[GroupRule]) -> DataFrame:
     """(rule, key, event) rows of all group rules from one scan."""
+    none = F.array().cast("array<struct<rule_id: string, key: array<string>, value: string, sort_time: timestamp>>")
     entries = [
         F.when(
             rule.when,
-            F.struct(
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.array(*[k.cast("string") for k in rule.key]).alias("key"),
-                rule.value.alias("value"),
-                # Rules that go by time sort on it first, the others keep the event order.
-                F.when(F.lit(rule.by_time), c("event_time")).alias("sort_time"),
+            F.array(
+                F.struct(
+                    F.lit(rule.rule_id).alias("rule_id"),
+                    F.array(*[k.cast("string") for k in rule.key]).alias("key"),
+                    rule.value.alias("value"),
+                    # Rules that go by time sort on it first, the others keep the event order.
+                    F.when(F.lit(rule.by_time), c("event_time")).alias("sort_time"),
+                )
             ),
-        )
+        ).otherwise(none)
         for rule in rules
     ]
-    matched = view.withColumn("_hits", x.once(F.array_compact(F.array(*entries)))).where(
+    matched = view.withColumn("_hits", x.once(F.flatten(F.array(*entries)))).where(
         F.size("_hits") > 0
     )
     exploded = matched.select(
@@ -199,7 +201,21 @@ def group_hits(view: DataFrame, rules: list[GroupRule]) -> DataFrame:
 
 
 def group_summaries(hits: DataFrame) -> DataFrame:
-    """One row per (rule, key): all group rules share this one partial aggregation."""
+    """One row per (rule, key): all group rules share this one partial aggregation.
+
+    It has numbers only, which are updated in place without sorting the hits; the rest of a group is
+    made of the hits of fired groups, see :func:`_firsts`.
+    """
+    spread = F.unix_micros(F.max("event_time")) - F.unix_micros(F.min("event_time"))
+    return hits.groupBy(*GROUP_KEYS).agg(
+        F.count(F.lit(1)).alias("n"),
+        (spread / 1_000_000).alias("span"),
+        F.max("is_probe").alias("is_probe"),
+    )
+
+
+def _firsts(fired_hits: DataFrame) -> DataFrame:
+    """First event, and first address, of each fired group."""
     order = F.struct("sort_time", "ord")
 
     def first(column: Column, where: Column | None = None) -> Column:
@@ -209,13 +225,9 @@ def group_summaries(hits: DataFrame) -> DataFrame:
     first_row = F.struct(
         facts(x.null_string()).alias("facts"), c("created"), c("own_logon_id"), c("ord")
     )
-    spread = F.unix_micros(F.max("event_time")) - F.unix_micros(F.min("event_time"))
-    return hits.groupBy(*GROUP_KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
+    return fired_hits.groupBy(c("finding_id").alias("id")).agg(
         first(first_row).alias("first"),
         first(c("src_ip"), x.non_empty(c("src_ip")).isNotNull()).alias("first_ip"),
-        (spread / 1_000_000).alias("span"),
-        F.max("is_probe").alias("is_probe"),
     )
 
 
@@ -235,8 +247,8 @@ def group_findings(view: DataFrame, wanted: set[str] | None = None):
     from casegraph.plans.detect import Findings, with_logon_entry
 
     rules = [r for r in group_rules() if wanted is None or r.rule_id in wanted]
-    # Groups, triggers and samples all read the hits, and few groups fire: the hits are stored once,
-    # narrow, and the logon ids of other events are looked up for the hits of fired groups only.
+    # All groups read the hits, and few groups fire: the hits are stored once, narrow, and so are those of fired
+    # groups, which triggers, samples, first events and the logon ids of other events come from.
     hits = stored(group_hits(view, rules))
     summaries = group_summaries(hits)
     fired = summaries.where(_case(rules, lambda r: r.fires, F.lit(False))).withColumn(
@@ -245,9 +257,10 @@ def group_findings(view: DataFrame, wanted: set[str] | None = None):
             c("collection_id"), c("channel"), c("rule_id"), F.array_join("key", "|", "∅")
         ),
     )
-    fired = cut_lineage(fired)
-    triggers = _group_triggers(hits, fired)
-    fired = fired.join(_group_logons(hits, fired, view), GROUP_KEYS, "left")
+    fired = stored(fired)
+    fired_hits = stored(_hits_of(fired, hits))
+    triggers = _group_triggers(fired_hits)
+    fired = fired.join(_firsts(fired_hits), "id").join(_group_logons(fired_hits, view), "id", "left")
 
     empty_map = F.create_map().cast("map<string,string>")
     fired = fired.join(_samples(triggers, rules), "id", "left").join(
@@ -316,18 +329,29 @@ def group_findings(view: DataFrame, wanted: set[str] | None = None):
     return Findings(findings, triggers)
 
 
-def _group_logons(hits: DataFrame, fired: DataFrame, view: DataFrame) -> DataFrame:
+def _hits_of(fired: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits of the groups that fired; the fired side is unique per key, so skew can be split."""
+    keys = fired.select(*[c(k).alias(f"_{k}") for k in GROUP_KEYS], c("id").alias("finding_id"))
+    same = [c(k).eqNullSafe(c(f"_{k}")) if k == "collection_id" else c(k) == c(f"_{k}") for k in GROUP_KEYS]
+    return hits.join(keys, same).drop(*[f"_{k}" for k in GROUP_KEYS])
+
+
+def _group_logons(fired_hits: DataFrame, view: DataFrame) -> DataFrame:
     """First logon id among the events of each fired group."""
     from casegraph.plans.detect import with_logon
 
-    own = with_logon(hits.join(fired.select(*GROUP_KEYS), GROUP_KEYS, "left_semi"), view)
+    own = with_logon(fired_hits, view)
     item = F.struct(F.struct("sort_time", "ord").alias("o"), c("logon_id").alias("v"))
-    return own.where(c("logon_id").isNotNull()).groupBy(*GROUP_KEYS).agg(F.min(item)["v"].alias("logon_id"))
+    return (
+        own.where(c("logon_id").isNotNull())
+        .groupBy(c("finding_id").alias("id"))
+        .agg(F.min(item)["v"].alias("logon_id"))
+    )
 
 
-def _group_triggers(hits: DataFrame, fired: DataFrame) -> DataFrame:
-    """Events of the groups that fired; the fired side is unique per key, so skew can be split."""
-    return hits.join(fired.select(*GROUP_KEYS, c("id").alias("finding_id")), GROUP_KEYS).select(
+def _group_triggers(fired_hits: DataFrame) -> DataFrame:
+    """Events of the groups that fired."""
+    return fired_hits.select(
         "collection_id",
         "channel",
         "finding_id",

@@ -20,6 +20,8 @@ DEFAULTS = {
     # The event tables hold zone-less UTC timestamps.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # The Java runtime compiles no method beyond this size; Spark then makes smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -34,9 +36,10 @@ def build_session(app: str = "casegraph", master: str | None = None, **conf: str
 
 
 def tune_runtime(spark: SparkSession) -> None:
-    """Apply the runtime settings results depend on to a session built elsewhere."""
+    """Apply the runtime settings results depend on, and that of method sizes, to a session built elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", DEFAULTS["spark.sql.codegen.hugeMethodLimit"])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
