@@ -129,11 +129,6 @@ def build_events(
     return events
 
 
-def event_time() -> Column:
-    """The time used for ordering and windows: ``timestamp``, else the creation time."""
-    return F.coalesce(F.col("timestamp"), F.col("event.created"))
-
-
 def rule_view(events: DataFrame) -> DataFrame:
     """The members the rules read, flat, so that nested column pruning reaches the scan.
 
@@ -155,6 +150,7 @@ def rule_view(events: DataFrame) -> DataFrame:
         c("channel"),
         c("ord"),
         c("id"),
+        # The time used for ordering and windows.
         F.coalesce(c("timestamp"), m("event.created")).alias("event_time"),
         m("event.created").alias("created"),
         F.coalesce(m("event.action"), empty).alias("action"),
