@@ -104,10 +104,34 @@ def returned(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("part", "answer")).alias(name))
 
 
-def groups_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorting order of the keys, the start of each group of equal ones, and the group of each sorted key."""
-    order = np.argsort(keys, kind="stable")
+def sorted_with_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of 64-bit unsigned keys in ascending order, equal ones in their order, and the keys in that order.
+
+    Each key is sorted as one number with its place in the last bits, which is several times as fast as sorting
+    places by keys; where keys differ in those bits only, the nearly sorted places are sorted once more.
+    """
+    last = np.uint64((1 << max(len(keys) - 1, 0).bit_length()) - 1)
+    both = np.sort(keys & ~last | np.arange(len(keys), dtype=np.uint64))
+    order = (both & last).astype(np.int64)
+    if not (keys & last).any():
+        both &= ~last
+        return order, both
     ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        again = np.argsort(ranked, kind="stable")
+        return order[again], ranked[again]
+    return order, ranked
+
+
+def groups_of(
+    keys: np.ndarray, order: np.ndarray | None = None, ranked: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorting order of the keys, the start of each group of equal ones, and the group of each sorted key.  A caller that
+    has sorted them gives their order and the keys, or others that are equal where they are, in it."""
+    if order is None:
+        order = np.argsort(keys, kind="stable")
+    if ranked is None:
+        ranked = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = ranked[1:] != ranked[:-1]
     return order, np.flatnonzero(first), np.cumsum(first) - 1

@@ -51,40 +51,49 @@ BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
+#: Strings that are named at a time, so that the arrays stay in the processor's cache.
+_AT_A_TIME = 1 << 13
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(50).integers(1, 1 << 62, -(-WINDOW // 8)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = (
     "block long, k1 array<long>, k2 array<long>, doc array<long>, start array<long>, size array<long>, "
     "whole array<boolean>, n_bytes long, data binary"
 )
+_BY_PIECE = ("k1", "k2", "doc", "start", "size", "whole")
 _DONE = "k1 long, k2 long, start long, n_removed long, n_spans long, kept_sha256 string, own binary, runs array<long>"
 
 
-def _offsets(width: int) -> list[int]:
-    return [*range(0, width - 8, 8), width - 8]
-
-
-def names(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """64-bit names of the strings of ``width`` bytes at some positions; ``words`` has 8 bytes from each position."""
-    out = np.full(len(at), width, np.uint64)
-    for k in _offsets(width):
-        out ^= words[at + k]
+def names(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit names of strings of ``width`` bytes, whose ``words`` are the rows of an array."""
+    out = np.full(words.shape[1], width, np.uint64)
+    for word in words:
+        out ^= word
         out *= _MIX
         out ^= out >> np.uint64(32)
     return out
 
 
-def parts_of(words: np.ndarray, at: np.ndarray, width: int, parts: int) -> np.ndarray:
+def parts_of(words: np.ndarray, parts: int) -> np.ndarray:
     """The bucket of each string, by a hash that is independent of its name."""
-    out = np.zeros(len(at), np.uint64)
-    for k, odd in zip(_offsets(width), _ODD, strict=False):
-        word = words[at + k]
+    out = np.zeros(words.shape[1], np.uint64)
+    for word, odd in zip(words, _ODD, strict=False):
         out += (word ^ (word >> np.uint64(31))) * odd
     out ^= out >> np.uint64(29)
     out *= _MIX
     return ((out >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each ``start`` on, one range after another."""
+    return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that neither meet nor touch, of ranges whose starts and ends both ascend."""
+    apart = start[1:] > end[:-1]
+    return start[np.r_[True, apart][: len(start)]], end[np.r_[apart, True][: len(end)]]
+
+
 @dataclass
 class Block:
     """Pieces of texts one after another, with what is computed from them."""
@@ -100,69 +109,126 @@ class Block:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, i: int) -> Block:
-        row = {c: batch.column(c)[i].as_py() for c in ("k1", "k2", "doc", "start", "size", "whole", "data")}
-        ids, rank = np.unique(np.array(row["doc"], np.int64), return_inverse=True)
-        data = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b""
-        start, size = np.array(row["start"], np.int64), np.array(row["size"], np.int64)
-        return cls(row["k1"], row["k2"], start, size, row["whole"], data, ids, rank.reshape(-1))
+        k1, k2, doc, start, size, whole = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in _BY_PIECE)
+        ids, rank = np.unique(doc, return_inverse=True)
+        packed = batch.column("data")[i].as_py()
+        data = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+        return cls(k1.tolist(), k2.tolist(), start, size, whole.tolist(), data, ids, rank.reshape(-1))
 
     def __post_init__(self) -> None:
         self.at = np.cumsum(self.size) - self.size
-        # The 8 bytes from each position on as one number; what reaches beyond the data is never used.
-        padded = self.data + bytes(WINDOW + 8)
-        self.words = np.ndarray(len(self.data) + WINDOW, "<u8", padded, strides=(1,)).astype(np.uint64)
         self.piece = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
-        self.local = (np.arange(len(self.data), dtype=np.int64) - self.at[self.piece]).astype(np.int32)
-        self.left = self.size[self.piece].astype(np.int32) - self.local
+
+    def words(self, at: np.ndarray, width: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """The strings of ``width`` bytes at some positions, a few at a time, as numbers of 8 bytes: one row of the
+        array for each 8 bytes, the last one filled up with zeros."""
+        n = -(-width // 8)
+        strings = np.ndarray(len(self.data), f"V{8 * n}", self.data + bytes(8 * n), strides=(1,))
+        for a in range(0, len(at), _AT_A_TIME):
+            words = np.ascontiguousarray(strings[at[a : a + _AT_A_TIME]].view("<u8").reshape(-1, n).T)
+            words[-1] &= np.uint64((1 << 8 * (width - 8 * (n - 1))) - 1)
+            yield slice(a, a + words.shape[1]), words
+
+    def documents(self, at: np.ndarray) -> np.ndarray:
+        """The ranks of the documents that hold some positions."""
+        return self.rank[self.piece[at]]
+
+    def sampled(self) -> np.ndarray:
+        """Sampled positions."""
+        starts = np.maximum(self.size - SAMPLE + 1, 0)
+        count = starts // PERIOD * len(COVER) + np.searchsorted(COVER, starts % PERIOD)
+        number = _spread(np.zeros_like(count), count)
+        period = number // len(COVER)
+        return np.repeat(self.at, count) + period * PERIOD + np.array(COVER)[number - period * len(COVER)]
+
+    def sorted_samples(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sampled positions, their order by part and name, the start of each group of equal names, and the groups'
+        parts and names as one number."""
+        at = self.sampled()
+        name = np.empty(len(at), np.uint64)
+        for some, words in self.words(at, SAMPLE):
+            name[some] = names(words, SAMPLE)
+        key = ((name >> np.uint64(32)) * np.uint64(parts)) & np.uint64(0xFFFFFFFF << 32) | name & np.uint64(0xFFFFFFFF)
+        # A part's number has few bits; without the zeros before them there is room for a key's place.
+        shift = np.uint64(32 - _bits_of(parts))
+        order, ranked = blobs.sorted_with_places(key << shift)
+        first = _starts(ranked[1:] != ranked[:-1], len(ranked))
+        return at, order, first, ranked[first] >> shift
 
     def samples(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sampled positions, the group of equal names of each, and of each group its part, name and whether
-        different documents of the block hold it."""
-        sampled = np.isin(np.arange(PERIOD), COVER)
-        at = np.flatnonzero(sampled[self.local % PERIOD] & (self.left >= SAMPLE))
-        name = names(self.words, at, SAMPLE)
-        part = ((name >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        key = part << np.uint64(32) | name & np.uint64(0xFFFFFFFF)
-        order, first, group = blobs.groups_of(key)
-        of = np.empty(len(at), np.int64)
-        of[order] = group
-        rank = self.rank[self.piece[at[order]]]
-        low, high = (f.reduceat(rank, first) if len(first) else rank for f in (np.minimum, np.maximum))
-        key = key[order[first]]
-        return at, of, (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), low != high
+        """Sampled positions, their order by part and name, and of each group of equal names its part, name and
+        whether different documents of the block hold it."""
+        at, order, first, key = self.sorted_samples(parts)
+        last = np.r_[first[1:], len(order)][: len(first)] - 1
+        # Pieces lie by document and equal names by place, so a group begins and ends with its extreme documents.
+        several = np.flatnonzero(last > first)
+        many = np.zeros(len(first), bool)
+        many[several] = self.documents(at[order[first[several]]]) != self.documents(at[order[last[several]]])
+        return at, order, (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), many
+
+    def tied(self, parts: int, answers: list) -> np.ndarray:
+        """Positions of suffixes in long ties."""
+        if not answers:
+            return np.empty(0, np.int64)
+        at, order, first, key = self.sorted_samples(parts)
+        shared = np.empty(len(at), bool)
+        shared[order] = np.repeat(told((key >> np.uint64(32)).astype(np.int64), answers), _counts(first, len(order)))
+        held = at[shared]
+        piece = self.piece[held]
+        # A sampled string is in the suffixes that start up to PERIOD - 1 bytes before it.
+        until = self.at + np.clip(self.size - WINDOW + 1, 0, PIECE_BYTES)
+        start, end = np.maximum(held - (PERIOD - 1), self.at[piece]), np.minimum(held + 1, until[piece])
+        some = start < end
+        start, end = _merged(start[some], end[some])
+        return _spread(start, end - start)
+
+    def sorted_ties(self, parts: int, answers: list) -> tuple[np.ndarray, ...]:
+        """Positions of suffixes in long ties, their order by bucket and name, the start of each group of equal ones,
+        and buckets and names in that order."""
+        tied = self.tied(parts, answers)
+        name, bucket = np.empty(len(tied), np.uint64), np.empty(len(tied), np.uint64)
+        for some, words in self.words(tied, WINDOW):
+            name[some], bucket[some] = names(words, WINDOW), parts_of(words, parts)
+        # By bucket and all but the last bits of the name.  Names that differ in these alone could tear a group
+        # into two, which the other side puts together as it does with groups of different blocks.
+        bits = np.uint64(_bits_of(parts))
+        order, _ = blobs.sorted_with_places(bucket << (np.uint64(64) - bits) | name >> bits)
+        name, bucket = name[order], bucket[order]
+        return tied, order, _starts((name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1]), len(name)), bucket, name
 
     def ties(self, parts: int, answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of suffixes in long ties, the group of equal ones of each, and of each group its part,
-        name and the rank of its first document in the block."""
-        at, of, part, _, _ = self.samples(parts)
-        shared = told(part, answers)[of]
-        # A sampled string is in the suffixes that start up to PERIOD - 1 bytes before it.
-        change = np.zeros(len(self.data) + 1, np.int32)
-        held = at[shared]
-        np.add.at(change, held - np.minimum(self.local[held], PERIOD - 1), 1)
-        np.add.at(change, held + 1, -1)
-        tied = np.flatnonzero((np.cumsum(change[:-1]) > 0) & (self.left >= WINDOW) & (self.local < PIECE_BYTES))
-        name, bucket = names(self.words, tied, WINDOW), parts_of(self.words, tied, WINDOW, parts)
-        order = np.argsort(name, kind="stable")
-        order = order[np.argsort(bucket[order].astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")]
-        ranked, dealt = name[order], bucket[order]
-        new = np.ones(len(tied), bool)
-        new[1:] = (ranked[1:] != ranked[:-1]) | (dealt[1:] != dealt[:-1])
-        first = np.flatnonzero(new)
-        of = np.empty(len(tied), np.int64)
-        of[order] = np.cumsum(new) - 1
-        rank = self.rank[self.piece[tied[order]]]
-        low = np.minimum.reduceat(rank, first) if len(first) else rank
-        return tied, of, dealt[first].astype(np.int64), ranked[first], low
+        """Positions of suffixes in long ties, their order by bucket and name, and of each group of equal ones its
+        part, name and the rank of its first document in the block."""
+        tied, order, first, bucket, name = self.sorted_ties(parts, answers)
+        return tied, order, bucket[first].astype(np.int64), name[first], self.documents(tied[order[first]])
 
     def removed(self, parts: int, shared: list, yielding: list) -> np.ndarray:
         """True for each byte of the block's data that a removed suffix's first ``WINDOW`` bytes cover."""
-        tied, of, part, _, low = self.ties(parts, shared)
-        gone = told(part, yielding)[of] | (self.rank[self.piece[tied]] > low[of])
-        change = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(change, tied[gone], 1)
-        np.add.at(change, tied[gone] + WINDOW, -1)
-        return np.cumsum(change[:-1]) > 0
+        tied, order, first, bucket, _ = self.sorted_ties(parts, shared)
+        held_by = self.documents(tied)[order]
+        yields = np.repeat(told(bucket[first].astype(np.int64), yielding), _counts(first, len(order)))
+        gone = np.empty(len(tied), bool)
+        gone[order] = yields | (held_by > np.repeat(held_by[first], _counts(first, len(order))))
+        start, end = _merged(tied[gone], tied[gone] + WINDOW)
+        change = np.zeros(len(self.data) + 1, np.int8)
+        change[start] = 1
+        change[end] = -1
+        return np.cumsum(change[:-1], dtype=np.int8).view(bool)
+
+
+def _bits_of(parts: int) -> int:
+    """Bits that a part's number takes."""
+    return max(1, (parts - 1).bit_length())
+
+
+def _starts(change: np.ndarray, n: int) -> np.ndarray:
+    """The start of each group of ``n`` sorted keys; ``change``: a key differs from the one before."""
+    return np.flatnonzero(np.r_[True, change][:n])
+
+
+def _counts(first: np.ndarray, n: int) -> np.ndarray:
+    """The sizes of groups of ``n`` keys."""
+    return np.diff(np.r_[first, n]) if n else first
 
 
 def told(part: np.ndarray, answers: list) -> np.ndarray:
@@ -179,7 +245,8 @@ def _recurring(questions: list[bytes]) -> list[bytes | None]:
     each = [blobs.split(q) for q in questions]
     found = [blobs.from_ascending(names_, np.uint32) for names_, _ in each]
     many = [np.unpackbits(np.frombuffer(bits, np.uint8), count=len(n)) for (_, bits), n in zip(each, found, strict=True)]
-    order, first, group = blobs.groups_of(np.concatenate(found))
+    each_name = np.concatenate(found)
+    order, first, group = blobs.groups_of(each_name, *blobs.sorted_with_places(each_name.astype(np.uint64) << np.uint64(32)))
     counts = np.diff(np.r_[first, len(order)]) + np.add.reduceat(np.concatenate(many)[order].astype(np.int64), first)
     return _bits(order, counts[group] > 1, found)
 
@@ -189,7 +256,8 @@ def _yielding(questions: list[bytes]) -> list[bytes | None]:
     each = [blobs.split(q) for q in questions]
     found = [blobs.from_ascending(q[0], np.uint64) for q in each]
     docs = [blobs.from_ascending(ids, np.uint64)[blobs.unsqueezed(which, np.uint32)] for _, ids, which in each]
-    order, first, group = blobs.groups_of(np.concatenate(found))
+    each_name = np.concatenate(found)
+    order, first, group = blobs.groups_of(each_name, *blobs.sorted_with_places(each_name))
     doc = np.concatenate(docs)[order]
     return _bits(order, np.minimum.reduceat(doc, first)[group] < doc, found)
 
@@ -202,12 +270,13 @@ def _bits(order: np.ndarray, ranked: np.ndarray, found: list[np.ndarray]) -> lis
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of pieces from rows ``k1, k2, doc, text``."""
+    """Blocks of pieces from rows ``k1, k2, doc, text``; in a block they lie by document."""
     number = TaskContext.get().partitionId() << 32
     rows: list[tuple] = []
     size = 0
 
     def packed() -> pa.RecordBatch:
+        rows.sort(key=lambda row: row[2])
         k1, k2, doc, start, length, whole, parts = zip(*rows, strict=True)
         data = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
         values = [[number], [k1], [k2], [doc], [start], [length], [whole], [sum(length)], [data]]
@@ -234,14 +303,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finished(block: Block, gone: np.ndarray) -> Iterator[tuple]:
     """A result for each whole document; for a piece its own bytes and the runs removed, by place in the document."""
     data = np.frombuffer(block.data, np.uint8)
-    for i, (a, size) in enumerate(zip(block.at.tolist(), block.size.tolist(), strict=True)):
-        mask, body = gone[a : a + size], data[a : a + size]
-        change = np.flatnonzero(np.diff(mask, prepend=False, append=False))
-        key = (block.k1[i], block.k2[i], int(block.start[i]))
+    kept = memoryview(data[~gone])
+    bounds = np.r_[block.at, len(data)]
+    before = np.r_[0, np.cumsum(gone)][bounds]
+    n_removed = np.diff(before)
+    began = gone & ~np.r_[False, gone[:-1]]
+    first = block.at[block.size > 0]
+    began[first] = gone[first]
+    n_spans = np.diff(np.searchsorted(np.flatnonzero(began), bounds))
+    ends = bounds - before
+    keys = zip(block.k1, block.k2, block.start.tolist(), strict=True)
+    for i, (key, n, spans) in enumerate(zip(keys, n_removed.tolist(), n_spans.tolist(), strict=True)):
         if block.whole[i]:
-            kept = sha256(body[~mask].tobytes()).hexdigest()
-            yield (*key, int(np.count_nonzero(mask)), len(change) // 2, kept, None, None)
+            yield (*key, n, spans, sha256(kept[ends[i] : ends[i + 1]]).hexdigest(), None, None)
         else:
+            mask, body = (x[bounds[i] : bounds[i + 1]] for x in (gone, data))
+            change = np.flatnonzero(np.diff(mask, prepend=False, append=False))
             yield (*key, None, None, None, body.tobytes(), (change + block.start[i]).tolist())
 
 
@@ -343,9 +420,11 @@ def _pieces_done(blocks: DataFrame) -> DataFrame:
             _, _, part, name, low = block.ties(parts, batch.column("shared")[i].as_py())
 
             def coded(a: int, b: int, block: Block = block, name: np.ndarray = name, low: np.ndarray = low) -> bytes:
-                ids, which = np.unique(low[a:b], return_inverse=True)
-                ids = block.ids[ids].view(np.uint64) ^ np.uint64(1 << 63)  # the same order without a sign
-                return blobs.joined(blobs.ascending(name[a:b]), blobs.ascending(ids), blobs.squeezed(which.astype(np.uint32)))
+                held = np.zeros(len(block.ids), bool)
+                held[low[a:b]] = True
+                ids = block.ids[held].view(np.uint64) ^ np.uint64(1 << 63)  # the same order without a sign
+                which = (np.cumsum(held, dtype=np.uint32) - np.uint32(1))[low[a:b]]
+                return blobs.joined(blobs.ascending(name[a:b]), blobs.ascending(ids), blobs.squeezed(which))
 
             yield from blobs.asked_rows(batch.column("block")[i].as_py(), part, coded)
 

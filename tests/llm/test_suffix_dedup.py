@@ -164,3 +164,53 @@ def test_a_long_text_and_its_parts(spark, odd):
     kept = ["", "xyyx" + body[:40], "q"]
     assert [r[1:4] for r in got(df)] == [(n, 0, 0), (n - 956, n - 1000, 1), (n + 1, n, 1)]
     assert [r[4] for r in got(df)] == [sha256(x.encode()).hexdigest() for x in [body, *kept[1:]]]
+
+
+def test_keys_are_sorted_with_their_places():
+    """Also keys that differ only in the bits that hold the places, equal keys, and few or none."""
+    from casegraph.llm import blobs
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 1000):
+        for low, shift in ((1 << 63, 0), (8, 0), (8, 60), (1 << 32, 32), (1, 0)):
+            keys = rng.integers(0, low, n).astype(np.uint64) << np.uint64(shift)
+            order, ranked = blobs.sorted_with_places(keys)
+            assert order.tolist() == np.argsort(keys, kind="stable").tolist()
+            assert (ranked == keys[order]).all()
+
+
+def _block(texts):
+    """The block of some texts, whose ids are their places."""
+    import unittest.mock as mock
+
+    import pyarrow as pa
+
+    n = len(texts)
+    batch = pa.table({"k1": range(n), "k2": [0] * n, "doc": range(n), "text": texts})
+    with mock.patch.object(suffix_dedup, "TaskContext") as context:
+        context.get.return_value.partitionId.return_value = 0
+        (made,) = suffix_dedup._blocks(batch.to_batches())
+    return suffix_dedup.Block.of(made, 0)
+
+
+def test_samples_take_no_longer_than_to_sort_them_once():
+    """A block's samples are named and grouped faster than their names would be sorted by place alone."""
+    import time
+
+    rng = random.Random(5)
+    block = _block(["".join(rng.choices("abcdefghijklmnop ", k=3000)) for _ in range(1100)])
+
+    def took(work):
+        began = time.thread_time()
+        work()
+        return time.thread_time() - began
+
+    names = np.random.default_rng(6).integers(0, 1 << 63, len(block.samples(64)[0])).astype(np.uint64)
+    once = min(took(lambda: np.argsort(names, kind="stable")) for _ in range(5))
+    assert min(took(lambda: block.samples(64)) for _ in range(5)) < 1.5 * once
+
+
+def test_block_of_empty_texts():
+    block = _block(["", None, ""])
+    gone = block.removed(64, None, None)
+    assert [r[3:6] for r in suffix_dedup._finished(block, gone)] == [(0, 0, EMPTY)] * 3
