@@ -111,8 +111,10 @@ def sorted_with_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     places by keys; where keys differ in those bits only, the nearly sorted places are sorted once more.
     """
     last = np.uint64((1 << max(len(keys) - 1, 0).bit_length()) - 1)
-    both = np.sort(keys & ~last | np.arange(len(keys), dtype=np.uint64))
-    order = (both & last).astype(np.int64)
+    both = keys & ~last
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & last).view(np.int64)
     if not (keys & last).any():
         both &= ~last
         return order, both

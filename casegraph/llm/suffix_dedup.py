@@ -9,12 +9,12 @@ For this the suffixes of all documents need order, and equality, over their firs
   sampled string of ``WINDOW - PERIOD + 1`` bytes at a common offset.  The sampled strings get names
   (hashes) that all blocks exchange; this stands for their ranks, as only ties matter.
 * **Ties.**  A suffix none of whose sample names recurs in another document is told apart from all
-  others by its sample and is done.  The rest are long ties.
+  others by its sample and is done.  The rest are long ties; a block's ranges of them are stored.
 * **Buckets.**  Long ties are dealt to buckets (parts) by a hash of their first ``WINDOW`` bytes.  One
   task sorts one bucket at a time, by 64-bit names that are independent of the bucket's hash; the first
-  document of each run of equal suffixes is what the others yield to.  A bucket has a fixed expected
-  size at every corpus size, so memory is bounded, and so is the chance of a false tie: fewer than
-  2^22 suffixes meet in a bucket, so it stays below 2^-42 for each suffix.
+  document of each run of equal suffixes is what the others yield to.  There is a bucket for each so
+  many long ties and it is sorted by slices, so memory is bounded at every corpus size, and so is the
+  chance of a false tie: fewer than 2^22 suffixes meet in a bucket, so it stays below 2^-42 for each.
 
 Texts are kept once, as compressed blocks of pieces; a document longer than a piece is cut into pieces
 that overlap by ``WINDOW - 1`` bytes, so no task depends on the length of a text.  Equal texts are one
@@ -27,7 +27,7 @@ give a result each; an empty table gives an empty result; further columns are ig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -49,6 +49,9 @@ SAMPLE = WINDOW - PERIOD + 1
 #: Bytes of a block and of a piece of a long document.
 BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
+#: Names that meet in one part, of samples and of long ties, about; a part is answered by slices of ``blobs.KEYS_A_PART``.
+SAMPLES_A_PART = 8_000_000
+TIES_A_PART = 4_000_000
 NO_ID = (1 << 63) - 1
 
 #: Strings that are named at a time, so that the arrays stay in the processor's cache.
@@ -166,10 +169,10 @@ class Block:
         many[several] = self.documents(at[order[first[several]]]) != self.documents(at[order[last[several]]])
         return at, order, (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), many
 
-    def tied(self, parts: int, answers: list) -> np.ndarray:
-        """Positions of suffixes in long ties."""
+    def tied(self, parts: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the ranges of positions whose suffixes are in long ties."""
         if not answers:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         at, order, first, key = self.sorted_samples(parts)
         shared = np.empty(len(at), bool)
         shared[order] = np.repeat(told((key >> np.uint64(32)).astype(np.int64), answers), _counts(first, len(order)))
@@ -179,13 +182,12 @@ class Block:
         until = self.at + np.clip(self.size - WINDOW + 1, 0, PIECE_BYTES)
         start, end = np.maximum(held - (PERIOD - 1), self.at[piece]), np.minimum(held + 1, until[piece])
         some = start < end
-        start, end = _merged(start[some], end[some])
-        return _spread(start, end - start)
+        return _merged(start[some], end[some])
 
-    def sorted_ties(self, parts: int, answers: list) -> tuple[np.ndarray, ...]:
+    def sorted_ties(self, parts: int, tied: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
         """Positions of suffixes in long ties, their order by bucket and name, the start of each group of equal ones,
         and buckets and names in that order."""
-        tied = self.tied(parts, answers)
+        tied = _spread(tied[0], tied[1] - tied[0])
         name, bucket = np.empty(len(tied), np.uint64), np.empty(len(tied), np.uint64)
         for some, words in self.words(tied, WINDOW):
             name[some], bucket[some] = names(words, WINDOW), parts_of(words, parts)
@@ -196,15 +198,15 @@ class Block:
         name, bucket = name[order], bucket[order]
         return tied, order, _starts((name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1]), len(name)), bucket, name
 
-    def ties(self, parts: int, answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def ties(self, parts: int, answers: list, tied: tuple | None = None) -> tuple[np.ndarray, ...]:
         """Positions of suffixes in long ties, their order by bucket and name, and of each group of equal ones its
-        part, name and the rank of its first document in the block."""
-        tied, order, first, bucket, name = self.sorted_ties(parts, answers)
+        part, name and the rank of its first document in the block; ``tied``: their ranges, where they are known."""
+        tied, order, first, bucket, name = self.sorted_ties(parts, tied or self.tied(parts, answers))
         return tied, order, bucket[first].astype(np.int64), name[first], self.documents(tied[order[first]])
 
-    def removed(self, parts: int, shared: list, yielding: list) -> np.ndarray:
+    def removed(self, parts: int, shared: list, yielding: list, tied: tuple | None = None) -> np.ndarray:
         """True for each byte of the block's data that a removed suffix's first ``WINDOW`` bytes cover."""
-        tied, order, first, bucket, _ = self.sorted_ties(parts, shared)
+        tied, order, first, bucket, _ = self.sorted_ties(parts, tied or self.tied(parts, shared))
         held_by = self.documents(tied)[order]
         yields = np.repeat(told(bucket[first].astype(np.int64), yielding), _counts(first, len(order)))
         gone = np.empty(len(tied), bool)
@@ -245,10 +247,13 @@ def _recurring(questions: list[bytes]) -> list[bytes | None]:
     each = [blobs.split(q) for q in questions]
     found = [blobs.from_ascending(names_, np.uint32) for names_, _ in each]
     many = [np.unpackbits(np.frombuffer(bits, np.uint8), count=len(n)) for (_, bits), n in zip(each, found, strict=True)]
-    each_name = np.concatenate(found)
-    order, first, group = blobs.groups_of(each_name, *blobs.sorted_with_places(each_name.astype(np.uint64) << np.uint64(32)))
-    counts = np.diff(np.r_[first, len(order)]) + np.add.reduceat(np.concatenate(many)[order].astype(np.int64), first)
-    return _bits(order, counts[group] > 1, found)
+
+    def recurs(name: np.ndarray, several: np.ndarray) -> np.ndarray:
+        order, first, group = blobs.groups_of(name, *blobs.sorted_with_places(name.astype(np.uint64) << np.uint64(32)))
+        more = np.diff(np.r_[first, len(order)]) + np.add.reduceat(several[order].astype(np.int64), first) > 1
+        return _back(order, more[group])
+
+    return _bits(found, many, recurs)
 
 
 def _yielding(questions: list[bytes]) -> list[bytes | None]:
@@ -256,17 +261,37 @@ def _yielding(questions: list[bytes]) -> list[bytes | None]:
     each = [blobs.split(q) for q in questions]
     found = [blobs.from_ascending(q[0], np.uint64) for q in each]
     docs = [blobs.from_ascending(ids, np.uint64)[blobs.unsqueezed(which, np.uint32)] for _, ids, which in each]
-    each_name = np.concatenate(found)
-    order, first, group = blobs.groups_of(each_name, *blobs.sorted_with_places(each_name))
-    doc = np.concatenate(docs)[order]
-    return _bits(order, np.minimum.reduceat(doc, first)[group] < doc, found)
+
+    def yields(name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        order, first, group = blobs.groups_of(name, *blobs.sorted_with_places(name))
+        doc = doc[order]
+        return _back(order, np.minimum.reduceat(doc, first)[group] < doc)
+
+    return _bits(found, docs, yields)
 
 
-def _bits(order: np.ndarray, ranked: np.ndarray, found: list[np.ndarray]) -> list[bytes | None]:
+def _back(order: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     bits = np.empty(len(order), bool)
     bits[order] = ranked
-    ends = np.cumsum([len(n) for n in found])[:-1]
-    return [np.packbits(b).tobytes() if b.any() else None for b in np.split(bits, ends)]
+    return bits
+
+
+def _bits(found: list[np.ndarray], also: list[np.ndarray], said: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[bytes | None]:
+    """What ``said`` says of all questions' names and what comes with them, by slices of the names' range."""
+    slices = max(1, -(-sum(map(len, found)) // blobs.KEYS_A_PART))
+    # The names of a question ascend, but for some of the last bits; a slice begins where the last 16 are zeros.
+    step = ((1 << 8 * found[0].itemsize) // slices) >> 16 << 16
+    between = np.array([step * i for i in range(1, slices)], found[0].dtype)
+    cuts = [np.r_[0, np.searchsorted(n, between), len(n)] for n in found]
+    bits = [np.empty(len(n), bool) for n in found]
+    for i in range(slices):
+        here = [slice(c[i], c[i + 1]) for c in cuts]
+        name = np.concatenate([n[x] for n, x in zip(found, here, strict=True)])
+        if len(name):
+            told_ = said(name, np.concatenate([a[x] for a, x in zip(also, here, strict=True)]))
+            for b, x, part in zip(bits, here, np.split(told_, np.cumsum([x.stop - x.start for x in here])[:-1]), strict=True):
+                b[x] = part
+    return [np.packbits(b).tobytes() if b.any() else None for b in bits]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +428,7 @@ def _pieces_done(blocks: DataFrame) -> DataFrame:
     """A row for each piece of ``blocks``: the result of a whole document, or the piece's bytes and runs."""
     spark = blocks.sparkSession
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    parts = blobs.parts_for(total * len(COVER) // PERIOD)
+    parts = max(blobs.LEAST_PARTS, -(-total * len(COVER) // (PERIOD * SAMPLES_A_PART)))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _single(batches):
@@ -415,9 +440,25 @@ def _pieces_done(blocks: DataFrame) -> DataFrame:
             )
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i in _single(batches):
+            start, end = Block.of(batch, i).tied(parts, batch.column("shared")[i].as_py())
+            if not len(start):
+                continue
+            ranges = blobs.joined(*(blobs.squeezed(x.astype(np.uint32)) for x in (start, end)))
+            values = [[batch.column("block")[i].as_py()], [int((end - start).sum())], [ranges]]
+            kinds = [pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "n_tied", "tied"])
+
+    shared = cut_lineage(blobs.returned(blobs.answered(blocks.mapInArrow(sampled, blobs.ASKED), _recurring), "shared"))
+    release(spark)  # the shuffles of the texts and the sample names
+    ranges = cut_lineage(blocks.join(shared, "block").mapInArrow(tied, "block long, n_tied long, tied binary"))
+    release(spark)  # that of the blocks
+    buckets = max(blobs.LEAST_PARTS, -(-(ranges.agg(F.sum("n_tied")).first()[0] or 0) // TIES_A_PART))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i in _single(batches):
             block = Block.of(batch, i)
-            _, _, part, name, low = block.ties(parts, batch.column("shared")[i].as_py())
+            _, _, part, name, low = block.ties(buckets, [], _ranges(batch, i))
 
             def coded(a: int, b: int, block: Block = block, name: np.ndarray = name, low: np.ndarray = low) -> bytes:
                 held = np.zeros(len(block.ids), bool)
@@ -433,20 +474,26 @@ def _pieces_done(blocks: DataFrame) -> DataFrame:
         columns = ["k1", "k2", "start", "n_removed", "n_spans", "kept_sha256", "own", "runs"]
         for batch, i in _single(batches):
             block = Block.of(batch, i)
-            gone = block.removed(parts, batch.column("shared")[i].as_py(), batch.column("yielding")[i].as_py())
+            gone = block.removed(buckets, [], batch.column("yielding")[i].as_py(), _ranges(batch, i))
             rows = zip(*_finished(block, gone), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], columns)
 
-    shared = cut_lineage(blobs.returned(blobs.answered(blocks.mapInArrow(sampled, blobs.ASKED), _recurring), "shared"))
-    release(spark)  # the shuffles of the texts and the sample names
-
-    def with_shared() -> DataFrame:
-        return blocks.join(shared, "block", "left")
+    def with_ranges() -> DataFrame:
+        return blocks.join(ranges, "block", "left")
 
     # A frame kept in a name would keep the shuffles of all jobs that ran over it.
-    yielding = cut_lineage(blobs.returned(blobs.answered(with_shared().mapInArrow(tied, blobs.ASKED), _yielding), "yielding"))
+    yielding = cut_lineage(blobs.returned(blobs.answered(with_ranges().mapInArrow(dealt, blobs.ASKED), _yielding), "yielding"))
     release(spark)  # that of the long ties
-    return with_shared().join(yielding, "block", "left").mapInArrow(finished, _DONE)
+    return with_ranges().join(yielding, "block", "left").mapInArrow(finished, _DONE)
+
+
+def _ranges(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's ranges of tied positions; none where no name of it is shared."""
+    stored = batch.column("tied")[i].as_py()
+    if stored is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start, end = (blobs.unsqueezed(x, np.uint32).astype(np.int64) for x in blobs.split(stored))
+    return start, end
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:

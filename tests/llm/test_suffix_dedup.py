@@ -214,3 +214,27 @@ def test_block_of_empty_texts():
     block = _block(["", None, ""])
     gone = block.removed(64, None, None)
     assert [r[3:6] for r in suffix_dedup._finished(block, gone)] == [(0, 0, EMPTY)] * 3
+
+
+def test_answers_by_slices(monkeypatch):
+    """A part that is answered in several slices gives the same bits as in one."""
+    from casegraph.llm import blobs
+
+    rng = np.random.default_rng(7)
+    few = [np.sort(rng.choice(1 << 31, 300)).astype(np.uint32) * np.uint32(2) for _ in range(4)]
+    few = [np.unique(np.r_[n, few[0][: 50 * i]]) for i, n in enumerate(few)] + [np.array([few[0][0], (1 << 32) - 1], np.uint32)]
+    asked = [blobs.joined(blobs.ascending(n), np.packbits(n % 10 == 0).tobytes()) for n in few]
+    ids = np.arange(3, dtype=np.uint64)
+    ties = [n.astype(np.uint64) << np.uint64(32) for n in few]
+    dealt = [
+        blobs.joined(blobs.ascending(n), blobs.ascending(ids + np.uint64(i % 2)), blobs.squeezed(rng.integers(0, 3, len(n)).astype(np.uint32)))
+        for i, n in enumerate(ties)
+    ]
+    plain = suffix_dedup._recurring(asked), suffix_dedup._yielding(dealt)
+    held = [set(n.tolist()) for n in few]
+    for i, (n, bits) in enumerate(zip(few, plain[0])):
+        wanted = [x % 10 == 0 or sum(x in h for h in held) > 1 for x in n.tolist()]
+        assert np.unpackbits(np.frombuffer(bits, np.uint8), count=len(n)).tolist() == wanted
+    assert any(plain[1])
+    monkeypatch.setattr(blobs, "KEYS_A_PART", 37)
+    assert (suffix_dedup._recurring(asked), suffix_dedup._yielding(dealt)) == plain
