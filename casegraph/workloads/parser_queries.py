@@ -237,7 +237,7 @@ FROM r WHERE u % 4 IN (0, 1, 2, 3)""")
 def created_task_rule(spark, sf):
     """WIN_SCHTASK_CREATED_001."""
     events = normalize_log(security_audit_raw(spark, sf), "security")
-    found = detect(events, RuleSet.of("WIN_SCHTASK_CREATED_001")).findings
+    found = detect(events, RuleSet.of("WIN_SCHTASK_CREATED_001")).whole().findings
     return found.select(
         c("ord.a").alias("event_ord"), "rule_id", "severity", "confidence", c("extra")["task_name"].alias("task_name")
     )
@@ -319,7 +319,7 @@ SELECT o_orderkey AS event_ord, {q(_CLEARED[3])} AS severity,
 FROM orders WHERE o_orderkey % 5 = 1""")
 def cleared_log_rule(spark, sf):
     """WIN_LOG_CLEARED_001."""
-    found = detect(normalize_log(system_raw(spark, sf), "system"), RuleSet.of("WIN_LOG_CLEARED_001")).findings
+    found = detect(normalize_log(system_raw(spark, sf), "system"), RuleSet.of("WIN_LOG_CLEARED_001")).whole().findings
     return found.select(
         c("ord.a").alias("event_ord"), "severity", "description", c("extra")["channel_cleared"].alias("channel_cleared")
     )
